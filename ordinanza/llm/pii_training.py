@@ -101,7 +101,7 @@ def windows(texts, *, size=160, plain=0.12, seed=3):
     return np.stack(xs), np.stack(ys)
 
 
-def main(path: str, out: str, max_docs: int = 10_000, seconds: float = 900, hidden: int = 32, dim: int = 16) -> None:
+def main(path: str, out: str, max_docs: int = 10_000, seconds: float = 3600, hidden: int = 48, dim: int = 20, epochs: int = 18) -> None:
     import pyarrow.parquet as pq
 
     table = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
@@ -112,7 +112,7 @@ def main(path: str, out: str, max_docs: int = 10_000, seconds: float = 900, hidd
     x, y = windows(fit)
     hx, hy = windows(held, seed=4)
     print(len(x), "windows;", len(hx), "held out", flush=True)
-    p = charcrf.train(x, y, epochs=14, seconds=seconds, hidden=hidden, dim=dim, say=lambda s: print(s, flush=True))
+    p = charcrf.train(x, y, epochs=epochs, seconds=seconds, hidden=hidden, dim=dim, say=lambda s: print(s, flush=True))
     got = charcrf.decode(p, hx.T).T
     for i, k in enumerate(charcrf.KINDS):
         a, b = (hy == 1 + 2 * i), (got == 1 + 2 * i)

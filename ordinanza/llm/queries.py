@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, site_lines, splitting
+from . import copies, leaks, mixing, pii, quality, site_lines, splitting
 from .sql import SQL  # noqa: F401
 
 
@@ -56,4 +56,71 @@ def p4_records(s, d):
     return c.join(x.select("ordinal", "section", "content"), F.col("first_key") == F.col("ordinal")).select("ordinal", "section", "content", "n_copies")
 
 
-NAMES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_templates, p3_cleaned, p4_found, p4_records)}
+# -- 5 quality of text ---------------------------------------------------------
+
+def line_model(s, d):
+    return quality.fit_lines(_t(s, d, "sections"), "ordinal", "content", _t(s, d, "quality_labels"))
+
+
+def p5_found(s, d):
+    k = quality.label_documents(_long_sections(s, d), "ordinal", "content", line_model(s, d))
+    return k.where("kind <> 'prose'").select("ordinal", "kind")
+
+
+def p5_labels(s, d):
+    return quality.label_documents(_t(s, d, "sections"), "ordinal", "content", line_model(s, d))
+
+
+def p5_statistics(s, d):
+    common = quality.common_list(_t(s, d, "common_words"))
+    return _t(s, d, "sections").where("content is not null").select("ordinal", *[c.alias(n) for n, c in quality.statistics(F.col("content"), common).items()])
+
+
+# -- 7 leaked evaluation texts -----------------------------------------------------
+
+def p7_leaks(s, d):
+    docs = _t(s, d, "documents")
+    items = leaks.fit_space(docs, "text", leaks.read_items(_t(s, d, "eval_items"), "item_id", "item_text"))
+    return leaks.find_leaks(docs, "doc_id", "text", items)
+
+
+def p7_found(s, d):
+    return p7_leaks(s, d).where("run_words >= 12").select("doc_id", "item_id")
+
+
+def p7_paraphrases(s, d):
+    docs = _t(s, d, "documents")
+    items = leaks.fit_space(docs, "text", leaks.read_items(_t(s, d, "eval_items"), "item_id", "item_text"))
+    return leaks.find_leaks(docs, "doc_id", "text", items, min_cosine=0.6, paraphrase=0.6)
+
+
+# -- 8 mixing ------------------------------------------------------------------
+
+def _mixed(s, d):
+    docs = _t(s, d, "documents")
+    sizes = mixing.count_tokens(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    return mixing.mix(sizes, _t(s, d, "mix_targets"), "doc_id")
+
+
+def p8_mixture(s, d):
+    return _mixed(s, d)[0]
+
+
+def p8_shares(s, d):
+    return _mixed(s, d)[1]
+
+
+# -- 9 personal information ----------------------------------------------------
+
+def p9_found(s, d):
+    return pii.find_pii(_t(s, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(s, d):
+    return pii.replace_pii(_t(s, d, "documents"), "doc_id", "text")
+
+
+NAMES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p3_found, p3_templates, p3_cleaned, p4_found, p4_records, p5_found, p5_labels, p5_statistics, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_redacted)
+}

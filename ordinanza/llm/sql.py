@@ -26,4 +26,12 @@ SQL = {
 n AS (SELECT source, count(*) AS n FROM parent_docs WHERE source IS NOT NULL AND page_content IS NOT NULL GROUP BY ALL),
 f AS (SELECT source, sq FROM l JOIN n USING (source) WHERE regexp_matches(sq, '\pL') GROUP BY source, sq, n HAVING count(DISTINCT parent_key) >= greatest(5, 0.02 * n))
 SELECT parent_key, line_no FROM l JOIN f USING (source, sq)""",
+    "p5_statistics": r"""WITH w AS (SELECT *, regexp_extract_all(lower(content), '[\pL\pN][\pL\pM\pN''’-]*') AS ws,
+  list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^\s\pZ]')) AS ls, length(regexp_replace(content, '[\s\pZ]+', '', 'g')) AS nc FROM sections),
+c AS (SELECT list(lower(word)) AS common FROM common_words)
+SELECT ordinal, CASE WHEN content IS NULL THEN NULL ELSE len(ws)::INT END AS n_words, CASE WHEN content IS NULL THEN NULL WHEN len(ws) > 0 THEN round(list_sum(list_transform(ws, lambda x: length(x))) / len(ws), 6)::DOUBLE ELSE 0.0::DOUBLE END AS mean_word_len,
+  CASE WHEN content IS NULL THEN NULL WHEN nc > 0 THEN round(length(regexp_replace(content, '[\s\pZ\pL\pM\pN]+', '', 'g')) / nc, 6) ELSE 0.0::DOUBLE END AS symbol_ratio,
+  CASE WHEN content IS NULL THEN NULL WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?;:,][\s\pZ]*$'))) / len(ls), 6) ELSE 0.0::DOUBLE END AS punct_line_share,
+  CASE WHEN content IS NULL THEN NULL WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: list_contains(common, x))) / len(ws), 6) ELSE 0.0::DOUBLE END AS common_share
+FROM w, c WHERE content IS NOT NULL""",
 }
