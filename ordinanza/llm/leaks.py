@@ -176,14 +176,14 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return prev[-1]
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cosine: float = 0.3, item_type: str = "long", paraphrase: float | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cosine: float = 0.4, item_type: str = "long", paraphrase: float | None = None) -> DataFrame:
     """(doc_id, item_id, run_words, lcs_share): items of which a document holds a passage.
 
     Every document is cut into 24-word passages at stride 12, so any run of 12
     words lies whole in one.  Passages are projected into the latent space;
     those with a cosine of at least ``min_cosine`` to an item passage are
     candidates.  A candidate leaks if document and item share 12 consecutive
-    words (run_words is the longest shared run around the candidates);
+    words (run_words is the longest shared run around the first of the candidates);
     with ``paraphrase``, also if the longest common subsequence of the passages
     covers that share of the item passage.  lcs_share is that cover, computed
     only with ``paraphrase``, else null.
@@ -199,33 +199,37 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cos
 
     def search(texts) -> list[tuple[int, int, int, float | None]]:
         lists, where, ids = _passages(texts, items.vocab)
-        cand: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        hits: dict[tuple[int, int], set[int]] = {}  # item passages close to each passage
         step = max(64, 4_000_000 // max(1, len(items.vocab), len(latent)))
         for at in range(0, len(ids), step):
             p = _dense(ids[at : at + step], items.idf) @ items.basis
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             for r, c in zip(*np.nonzero(p @ latent.T >= min_cosine)):
-                n, first = where[at + r]
-                cand.setdefault((n, int(owner[c])), []).append((first, int(c)))
-        out = []
-        for (n, item), hits in cand.items():
-            ws, share, run = lists[n], None, 0
-            for first in sorted({f for f, _ in hits}):
-                piece = ws[first : first + 2 * STRIDE]
-                for i in range(len(piece) - RUN + 1):
-                    if item in items.runs.get(tuple(piece[i : i + RUN]), ()):
-                        run = max(run, longest_common_run(ws[max(0, first - RUN) : first + 3 * RUN], item_words[item]))
-                        break
+                hits.setdefault(where[at + r], set()).add(int(c))
+        found: dict[tuple[int, int], list] = {}
+        for (n, first), near in hits.items():
+            ws = lists[n]
+            piece = ws[first : first + 2 * STRIDE]
+            near_items = {int(owner[c]) for c in near}
+            exact = set()
+            for i in range(len(piece) - RUN + 1):
+                exact.update(items.runs.get(tuple(piece[i : i + RUN]), ()))
+            for item in exact & near_items:
+                got = found.setdefault((n, item), [0, None])
+                if paraphrase is None and got[0] >= RUN:
+                    continue
+                around = ws[max(0, first - RUN) : first + 3 * RUN]
+                got[0] = max(got[0], longest_common_run(around, item_words[item]))
             if paraphrase is not None:
-                share = 0.0
-                for f, c in hits:
-                    own = item_words[item]
-                    a = STRIDE * (c - int(np.searchsorted(owner, item)))
-                    target = own[a : a + 2 * STRIDE]
-                    share = max(share, common_subsequence(ws[f : f + 2 * STRIDE], target) / max(1, len(target)))
-            if run >= RUN or (paraphrase is not None and share >= paraphrase):
-                out.append((n, item, run, share))
-        return out
+                for c in near:
+                    item = int(owner[c])
+                    at = STRIDE * (c - int(np.searchsorted(owner, item)))
+                    target = item_words[item][at : at + 2 * STRIDE]
+                    share = common_subsequence(piece, target) / max(1, len(target))
+                    if share >= paraphrase or (n, item) in found:
+                        got = found.setdefault((n, item), [0, None])
+                        got[1] = max(got[1] or 0.0, share)
+        return [(n, item, run, share) for (n, item), (run, share) in found.items()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leaks, mixing, pii, quality, site_lines, splitting
+from . import copies, leaks, mixing, pii, quality, site_lines, splitting, survivors
 from .sql import SQL  # noqa: F401
 
 
@@ -24,6 +24,20 @@ def p1_pieces(s, d):
     return splitting.split_oversized(_t(s, d, "parent_docs"), "parent_key", "page_content")
 
 
+# -- 2 best values ----------------------------------------------------------------
+
+def p2_records(s, d):
+    x, trust = _t(s, d, "sections"), _t(s, d, "source_trust").groupBy("source").agg(F.max("trust").alias("trust"))
+    whole = survivors.whole_content(x, "ordinal", "provision_id", "content").select("ordinal", "whole")
+    x = x.join(whole, "ordinal", "left").join(trust, "source", "left")
+    x = x.withColumn("content_ok", F.coalesce("whole", F.lit(False))).withColumn("section_ok", survivors.section_ok(F.col("section")))
+    return survivors.survivors(x, "ordinal", "provision_id", {"section": "section_ok", "content": "content_ok"}, "trust", "loaded_at")
+
+
+def p2_found(s, d):
+    return p2_records(s, d).select("provision_id", "field_name", "ordinal")
+
+
 # -- 3 lines of the site -------------------------------------------------------
 
 def p3_found(s, d):
@@ -122,5 +136,5 @@ def p9_redacted(s, d):
 
 NAMES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_templates, p3_cleaned, p4_found, p4_records, p5_found, p5_labels, p5_statistics, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_redacted)
+    for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p3_templates, p3_cleaned, p4_found, p4_records, p5_found, p5_labels, p5_statistics, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_redacted)
 }
