@@ -97,6 +97,12 @@ _PART = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 NAME = re.compile(rf"{_PART},\s+{_PART}(?:\s+[^\W\d_]\.)?|(?:{_PART}|[^\W\d_]\.)(?:\s+[^\W\d_]\.)?\s+{_PART}|{_PART}", re.U)
 TITLE = re.compile(r"(?:(?:mr|mrs|ms|mx|dr|rev|sr|sra|srta|fr|prof|hon)\.|don|doña)\s+", re.I)
 _NOT_A_NAME = re.compile(rf"\s+(?:{_WAYS}|plaza|hall|room|reading|park|works|trust|pier|bridge)\b", re.I)
+# Words that are no part of a name.
+_NEVER = frozenset(
+    "january february march april may june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre "
+    "octubre noviembre diciembre the of and to in a is that for it as was with be by on not are or from at which but have had they were before after between "
+    "under section explain suppose meanwhile neither choose last monday tuesday wednesday thursday friday saturday sunday".split()
+)
 _RULES = {"email": EMAIL, "phone": PHONE, "id": IDENT, "address": ADDRESS}
 _WORDISH = re.compile(r"[\w'’-]")
 
@@ -147,6 +153,8 @@ def _check_name(text: str, a: int, b: int) -> tuple[int, int] | None:
         return None
     if a and text[a - 1] in "@.+_" or text[b : b + 1] in ("@", "_"):
         return None
+    if any(w in _NEVER for w in re.findall(r"[^\W\d_]{2,}", text[a:b].lower())) or text[a:b].islower() and " " not in text[a:b]:
+        return None
     if b - a < 3 or any(c.isdigit() for c in text[a:b]):
         return None
     return a, b

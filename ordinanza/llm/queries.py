@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leaks, mixing, pii, quality, site_lines, splitting, survivors
+from . import copies, leaks, mixing, pii, quality, scan_noise, site_lines, splitting, survivors
 from .sql import SQL  # noqa: F401
 
 
@@ -90,6 +90,32 @@ def p5_statistics(s, d):
     return _t(s, d, "sections").where("content is not null").select("ordinal", *[c.alias(n) for n, c in quality.statistics(F.col("content"), common).items()])
 
 
+# -- 6 noise of scanned pages ----------------------------------------------------
+
+def _noise_model(s, d):
+    return scan_noise.fit([(_t(s, d, "sections"), "content"), (_t(s, d, "parent_docs"), "page_content")])
+
+
+def p6_found(s, d):
+    m = _noise_model(s, d)
+    sec = _t(s, d, "sections")
+    a = scan_noise.find_noise(sec, "ordinal", "content", m)
+    noisy = sec.join(a.select("ordinal").distinct(), "ordinal", "left_semi").where(F.length(F.trim("content")) > 50)
+    junk = quality.label_documents(noisy, "ordinal", "content", line_model(s, d)).where("kind = 'junk'").select("ordinal")
+    a = a.join(junk, "ordinal", "left_anti").select(F.lit("sections").alias("tbl"), F.col("ordinal").alias("rec_id"), "line_no", "kind")
+    docs = _t(s, d, "parent_docs")
+    b = scan_noise.find_noise(docs, "parent_key", "page_content", m)
+    return a.unionByName(b.select(F.lit("parent_docs").alias("tbl"), F.col("parent_key").alias("rec_id"), "line_no", "kind"))
+
+
+def p6_repaired(s, d):
+    m = _noise_model(s, d)
+    a = scan_noise.repair(_t(s, d, "sections"), "ordinal", "content", m)
+    b = scan_noise.repair(_t(s, d, "parent_docs"), "parent_key", "page_content", m)
+    names = ["rec_id", "text", "n_fixed"]
+    return a.toDF(*names).withColumn("tbl", F.lit("sections")).unionByName(b.toDF(*names).withColumn("tbl", F.lit("parent_docs")))
+
+
 # -- 7 leaked evaluation texts -----------------------------------------------------
 
 def p7_leaks(s, d):
@@ -136,5 +162,5 @@ def p9_redacted(s, d):
 
 NAMES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p3_templates, p3_cleaned, p4_found, p4_records, p5_found, p5_labels, p5_statistics, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_redacted)
+    for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p3_templates, p3_cleaned, p4_found, p4_records, p5_found, p5_labels, p5_statistics, p6_found, p6_repaired, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_redacted)
 }
