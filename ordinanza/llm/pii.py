@@ -87,9 +87,10 @@ _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?|\s(?:dot|DOT)\s)"
 EMAIL = re.compile(rf"[^\W_](?:[\w.+'-]*\w)?{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+", re.I)
 PHONE = re.compile(r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,10}(?:[\s./-]\d{2,6}){0,4}|\+?1[\s.-]?\(?\d{3}\)?[\s./-]?\d{3}[\s.-]?\d{4}")
 IDENT = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{9}|[A-Z]\d{7,8}[A-Z]?|\d{7,8}[- ]?[A-Z]|[A-Z]{3} \d{4} \d{4}|[A-Z]{2}-\d{4}-\d{4}")
+_SHORT_WAYS = r"st|ln|rd|ave|blvd|dr|pl|ct"
 _WAYS = r"street|st|lane|ln|road|rd|avenue|ave|boulevard|blvd|drive|dr|terrace|place|pl|court|ct|way"
 ADDRESS = re.compile(
-    rf"\d{{1,5}}(?:-\d{{1,3}}|[a-z])?(?:\s\d/\d)?\s(?:[nsew]\.?\s|north\s|south\s|east\s|west\s)?(?:[^\W\d_][\w'’-]*\s){{1,3}}?(?:{_WAYS})\b\.?"
+    rf"\d{{1,5}}(?:-\d{{1,3}}|[a-z])?(?:\s\d/\d)?\s(?:[nsew]\.?\s|north\s|south\s|east\s|west\s)?(?:[^\W\d_][\w'’-]*\s){{1,3}}?(?:(?:{_SHORT_WAYS})\b\.?|(?:{_WAYS})\b)"
     r"|(?:calle|paseo|avenida|plaza|camino)\s(?:[^\W\d_][\w'’-]*\s){1,3}?\d{1,5}\b",
     re.I,
 )

@@ -89,7 +89,7 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
                     if _wordlike(u) or u.isalpha():
                         words[u] += n
             total.clear()
-            return pd.DataFrame({"word": list(words), "n": list(words.values())})
+            return pd.DataFrame({"word": np.array(list(words), object), "n": np.array(list(words.values()), np.int64)})
 
         for b in batches:
             for t in b["t"]:
@@ -231,7 +231,9 @@ def corrections(counts: DataFrame, lexicon_n: float, ranker: Boosted, min_p: flo
             if len(b):
                 x = np.array([pair_features(*r) for r in zip(b["s"], b["ns"], b["v"], b["nv"], b["shared"])])
                 b = b.assign(p=np.where(x[:, 0] <= 1.0, ranker.probability(x), 0.0))
-                yield b.loc[b["p"] >= min_p, ["s", "v", "nv", "p"]]
+                b = b.loc[b["p"] >= min_p]
+                if len(b):
+                    yield pd.DataFrame({"s": b["s"].to_numpy(object), "v": b["v"].to_numpy(object), "nv": b["nv"].to_numpy(), "p": b["p"].to_numpy()})
 
     ranked = pairs.mapInPandas(rank, "s string, v string, nv long, p double")
     best = ranked.groupBy("s").agg(F.max(F.struct(F.round("p", 3).alias("p"), "nv", "v")).alias("b"))
@@ -480,8 +482,8 @@ def repair(df: DataFrame, key: str, text: str, model: NoiseModel) -> DataFrame:
     def odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(slim)
         for b in batches:
-            rows = [(k, w.split("\t")[0]) for k, t in zip(b["_k"].to_numpy(), b["_t"].to_numpy()) if t for _, e, w in reader.read(t) if w]
-            yield pd.DataFrame(rows, columns=["_k", "word"]).drop_duplicates()
+            rows = ((k, w.split("\t")[0]) for k, t in zip(b["_k"].to_numpy(), b["_t"].to_numpy()) if t for _, e, w in reader.read(t) if w)
+            yield pd.DataFrame(list(dict.fromkeys(rows)), columns=["_k", "word"])
 
     need = src.mapInPandas(odd, f"_k {kt}, word string").join(model.fixes.select("word", "fix"), "word")
     maps = need.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("_m"))

@@ -81,9 +81,10 @@ def split_spans(text: str, limit: int = 500, overlap: int = 50) -> list[tuple[in
     k = len(starts)
     end = starts[1:] + [n]
     left, right = list(range(-1, k - 1)), list(range(1, k + 1))
-    alive, version = [True] * k, [0] * k
-    heap = [(strength[i], end[i] - starts[i - 1], i, 0, 0) for i in range(1, k) if end[i] - starts[i - 1] <= room]
+    alive, version = [True] * k, list(range(k))  # a version names one state of one segment
+    heap = [(strength[i], end[i] - starts[i - 1], i, i - 1, i) for i in range(1, k) if end[i] - starts[i - 1] <= room]
     heapq.heapify(heap)
+    k_version = k
     while heap:
         _, size, i, va, vb = heapq.heappop(heap)
         if not alive[i]:
@@ -92,7 +93,8 @@ def split_spans(text: str, limit: int = 500, overlap: int = 50) -> list[tuple[in
         if version[j] != va or version[i] != vb:
             continue
         end[j], right[j], alive[i] = end[i], right[i], False
-        version[j] += 1
+        k_version += 1
+        version[j] = k_version
         if right[i] < k:
             left[right[i]] = j
         for a, b in ((left[j], j), (j, right[j])):
