@@ -54,7 +54,8 @@ def expand_children(parents: DataFrame, key: str, text: str, *inherit: str, size
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lists = [chunk_text(t, size, overlap) for t in b.pop("_text")]
-            out = b.loc[b.index.repeat([len(x) for x in lists])].copy()
+            times = [len(x) for x in lists]
+            out = pd.DataFrame({c: b[c].to_numpy().repeat(times) for c in b})
             out["chunk_no"] = [i for x in lists for i in range(len(x))]
             out["chunk"] = [c for x in lists for c in x]
             yield out
