@@ -30,7 +30,7 @@ TRAIN_WORDS = 2_000
 # Shapes that scanning confuses, the true letters first.
 SHAPES = (
     ("e", "c"), ("a", "@"), ("i", "|"), ("i", "!"), ("t", "+"), ("o", "0"), ("s", "5"), ("s", "$"), ("l", "1"), ("l", "i"), ("i", "l"), ("i", "1"), ("l", "|"),
-    ("h", "b"), ("g", "9"), ("c", "("), ("b", "6"), ("b", "8"), ("z", "2"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("n", "ri"), ("w", "vv"), ("h", "li"), ("k", "lc"),
+    ("h", "b"), ("g", "9"), ("c", "("), ("b", "6"), ("b", "8"), ("z", "2"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("n", "ri"), ("w", "vv"), ("h", "li"), ("li", "h"), ("k", "lc"),
     ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("o", "c"), ("q", "9"), ("y", "v"), ("ri", "n"), ("rn", "m"), ("cl", "d"),
 )
 _SHAPE = {(b, a): 0.25 for a, b in SHAPES}
@@ -184,6 +184,9 @@ def fit_ranker(lexicon: dict[str, int], seed: int = 5) -> Boosted:
         return [v for v, _ in c.most_common(6) if v != s and abs(len(v) - len(s)) <= 2]
 
     for w in words:
+        # frequent misreadings are in the lexicon too: they are neither source nor counterexample
+        if any(lexicon[v] >= 100 * lexicon[w] and _distance(w, v)[0] <= 0.5 for v in near(w)):
+            continue
         for _ in range(4):
             s = w
             for _ in range(1 if rng.random() < 0.85 else 2):
@@ -200,7 +203,8 @@ def fit_ranker(lexicon: dict[str, int], seed: int = 5) -> Boosted:
                         add(s, ns, v, 0)
         for v in near(w)[:4]:
             add(w, lexicon[w], v, 0)
-            add(w, max(1, int(lexicon[v] * 10 ** rng.uniform(-5, -1))), v, int(False))
+            if _distance(w, v)[0] > 0.5:
+                add(w, max(1, int(lexicon[v] * 10 ** rng.uniform(-5, -1))), v, 0)
         if len(w) > 5:
             k = rng.randint(2, len(w) - 2)
             for s in (w[:k], w[k:]):
@@ -223,7 +227,7 @@ def corrections(counts: DataFrame, lexicon_n: float, ranker: Boosted, min_p: flo
     v = lex.select(F.col("word").alias("v"), F.col("n").alias("nv"), F.length("word").alias("lv"), F.explode(gram(F.col("word"))).alias("g"))
     v = v.withColumn("len", F.explode(F.sequence(F.col("lv") - 1, F.col("lv") + 2)))
     pairs = s.join(v, ["g", "len"]).where("s <> v and nv >= 8 * ns").groupBy("s", "ns", "v", "nv").agg(F.count("*").alias("shared"))
-    pairs = pairs.where("shared >= length(v) + 1 - case when length(v) <= 5 then 2 when length(v) <= 8 then 3 else 5 end")
+    pairs = pairs.where("shared >= length(v) + 1 - case when length(v) <= 5 then 3 when length(v) <= 8 then 4 else 5 end")
     pairs = pairs.where("levenshtein(s, v, 4) between 1 and case when length(v) <= 5 then 2 when length(v) <= 8 then 3 else 4 end")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from .copies import fields, is_fields
 SALTS = 16
 # What a cut text says at its end.
 _MARKER = r"(?i)(?:…|\.\.\.|[\[(<][^\])>]{0,30}(?:continued|missing|cut|next page|truncated|illegible)[^\])>]{0,30}[\])>]|--+\s*(?:see|continued|cut|page)[^\n]{0,40})[\s\p{Z}]*$"
-_PAGE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?[^\p{L}\p{N}\n]*$"
+_PAGE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?[^\p{L}\p{N}\n.,;:%)]*$"
 _HEADER = r"(?m)^.*(?:\p{Lu} ){4}.*$|^(?:CHAPTER|Chapter|TITLE|Title) \d.*$|^\d{1,4} {3,}\p{Lu}.*$|^\p{Lu}[^\n]* {3,}(?:\d{1,4}|\[[\d-]+\])$"
 _MARKED = r"(?m)^\s*(?:[-*•–]\s+|\(?(?:\d{1,3}|\p{L}|[ivxlIVXL]{1,6})[.)]\s+)"
 
@@ -65,7 +65,7 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     x = df.where(c.isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), c.alias("_c"))
     bare = F.regexp_replace(F.regexp_replace("_c", _PAGE, ""), _HEADER, "")
     x = x.withColumn("_canon", _canon(F.col("_c"))).where(F.length("_canon") >= min_chars)
-    x = x.withColumn("_cutmark", F.col("_c").rlike(_MARKER)).withColumn("_closed", bare.rlike(r"[.!?][\s\p{Z}\p{Cf}\"”’)]*$"))
+    x = x.withColumn("_cutmark", F.col("_c").rlike(_MARKER)).withColumn("_closed", bare.rlike(r"[.!?;][\s\p{Z}\p{Cf}\"”’)]*$"))
     n_lines = F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S")))
     marked, cells = F.size(F.regexp_extract_all("_c", F.lit(_MARKED), 0)), F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S") & (F.length(v) < 120)))
     kind = F.when(is_fields(F.col("_c")), "fields").when(marked * 2 > n_lines, "list").when((cells * 2 > n_lines) & (n_lines > 2), "table").otherwise("prose")
@@ -75,8 +75,11 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     x = x.withColumn("_end", F.regexp_replace("_end", r"\p{N}+", "0"))
     x = x.withColumn("_len", F.length("_canon")).withColumn("_tail", F.xxhash64(F.right("_canon", F.lit(24))))
     x = cut(x.withColumn("_h", F.xxhash64("_canon")).drop("_c"))
+    tails = x.where("not _cutmark").groupBy("_g", "_tail").agg(F.max("_len").alias("_full"))
+    x = x.join(tails, ["_g", "_tail"], "left")
+    x = x.withColumn("_gap", (F.col("_kind") == "prose") & F.coalesce(F.col("_len") < 0.92 * F.col("_full"), F.lit(False)))
     of = lambda k: F.max(F.when(F.col("_kind") == k, F.col("_n")))
-    closed_len = F.max(F.when((F.col("_kind") == "prose") & F.col("_closed") & ~F.col("_cutmark"), F.col("_len")))
+    closed_len = F.max(F.when((F.col("_kind") == "prose") & F.col("_closed") & ~F.col("_cutmark") & ~F.col("_gap"), F.col("_len")))
     top = x.groupBy("_g").agg(of("fields").alias("_tf"), of("list").alias("_tl"), of("table").alias("_tt"), closed_len.alias("_tp"))
     forms = x.groupBy("_g", "_canon").agg(F.max("_closed").alias("_any_closed"))
     forms = next_in_group(forms, "_g", "_canon", "_next").select(
@@ -91,10 +94,7 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     ends = x.where("_closed and _kind = 'prose' and not _cutmark").groupBy("_end").agg(F.count("*").alias("_times")).where("_times >= 2").select("_end", F.lit(True).alias("_known_end"))
     y = x.join(forms, ["_g", "_h"]).join(ends, "_end", "left")
     y = salted(y, top, "_g", "_k")
-    tails = x.where("not _cutmark").groupBy("_g", "_tail").agg(F.max("_len").alias("_full"))
-    y = y.join(tails, ["_g", "_tail"], "left")
-    gap = (F.col("_kind") == "prose") & (F.col("_len") < 0.92 * F.col("_full"))
-    short = gap | (
+    short = F.col("_gap") | (
         F.when(F.col("_kind") == "fields", F.col("_n") < F.col("_tf"))
         .when(F.col("_kind") == "list", (F.col("_n") < 0.9 * F.col("_tl")) & (F.col("_tl") - F.col("_n") > 30))
         .when(F.col("_kind") == "table", (F.col("_n") < 0.9 * F.col("_tt")) & (F.col("_tt") - F.col("_n") > 30))
