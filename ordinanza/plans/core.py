@@ -79,10 +79,12 @@ def parent_child(s, d):
 
 
 def parent_lookup(s, d):
-    """Every section of the parents and the number of later documents that carry it as their parent."""
-    p, c = _t(s, d, "parent_docs"), _t(s, d, "documents")
-    n = c.where("section is not null").groupBy("section").agg(F.count("*").alias("n_children"))
-    return p.join(n, "section").select("parent_key", "section", "n_children")
+    """Children, here plain windows of 500 characters, brought back to their parents by an equi-join."""
+    p = _t(s, d, "parent_docs")
+    n = F.ceil(F.length("page_content") / 500)
+    kids = p.where("length(page_content) > 0").select(F.col("parent_key").alias("parent_id"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("child_no"))
+    j = kids.join(p, kids.parent_id == p.parent_key)
+    return j.select("parent_key", "child_no", "section", F.length("page_content").alias("parent_chars"), F.md5(F.expr("substring(page_content, cast((child_no - 1) * 500 + 1 as int), 500)")).alias("child_md5"))
 
 
 def section_refs(s, d):

@@ -197,7 +197,8 @@ SELECT * FROM r WHERE start_page <= end_page""",
     "section_counts": LINES + "SELECT source, count(*) AS n_sections, count(*) FILTER (length(content) > 50) AS n_valid FROM secs GROUP BY ALL",
     "fallback_label": r"""SELECT parent_key, coalesce(nullif(regexp_extract(page_content, '(\d+\.\d+\.\d+)', 1), ''), 'chunk_' || CASE WHEN parent_key < 10000 THEN lpad(parent_key::VARCHAR, 4, '0') ELSE parent_key::VARCHAR END) AS label
 FROM parent_docs WHERE page_content IS NOT NULL""",
-    "parent_lookup": """SELECT p.parent_key, p.section, n.n_children FROM parent_docs p JOIN (SELECT section, count(*) AS n_children FROM documents WHERE section IS NOT NULL GROUP BY ALL) n ON p.section = n.section""",
+    "parent_lookup": """SELECT p.parent_key, i AS child_no, p.section, length(p.page_content)::INT AS parent_chars, md5(substring(p.page_content, (i - 1) * 500 + 1, 500)) AS child_md5
+FROM parent_docs p, unnest(range(1, ceil(length(p.page_content) / 500.0)::BIGINT + 1)) AS u(i) WHERE length(p.page_content) > 0""",
     "section_refs": f"SELECT question_id, array_to_string(regexp_extract_all(answer, '{_REF}', 1), '|') AS refs FROM answers WHERE answer IS NOT NULL",
     "section_refs_all": f"SELECT doc_id, array_to_string({_refs_all('text')}, '|') AS refs FROM documents",
     "search_terms": f"""SELECT question_id, array_to_string(list_filter(list_transform(regexp_extract_all(reply, '(?i)search:[^\\S\\n]*([^\\n]+)', 1), lambda t: {_strip('t')}), lambda t: t <> ''), '|') AS terms
