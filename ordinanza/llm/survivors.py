@@ -44,7 +44,7 @@ def next_in_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     d = d.withColumn("_ng", F.lead(group).over(w)).withColumn("_nv", F.lead(value).over(w)).withColumn("_last", F.lead("_p").over(w).isNull())
     first = d.groupBy("_p").agg(F.min(F.struct(F.col(group).alias("g"), F.col(value).alias("v"))).alias("_f"))
     after = first.select("_p", F.lead("_f").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_nf"))
-    d = d.join(F.broadcast(after), "_p")
+    d = d.join(after, "_p")
     ng, nv = F.when(F.col("_last"), F.col("_nf.g")).otherwise(F.col("_ng")), F.when(F.col("_last"), F.col("_nf.v")).otherwise(F.col("_nv"))
     return d.withColumn(out, F.when(ng.eqNullSafe(F.col(group)), nv)).drop("_p", "_ng", "_nv", "_last", "_nf")
 
