@@ -189,6 +189,9 @@ def redact(text: str, spans) -> str:
 
 def _run(df: DataFrame, key: str, text: str, weights: str, rows, schema: str, step: int = 512) -> DataFrame:
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < tasks:  # decoding costs far more than one shuffle of the text
+        src = src.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(weights)
