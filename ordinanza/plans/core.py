@@ -183,7 +183,7 @@ def index_stats(s, d):
 
 
 def documents_projection(s, d):
-    return _t(s, d, "sections").where("content is not null").select("ordinal", "section", "content", F.lit("EP_Ordinances.pdf").alias("doc_source"))
+    return _t(s, d, "sections").where("content is not null").select("ordinal", "section", "content", F.lit("code_of_ordinances.pdf").alias("doc_source"))
 
 
 def index_describe(s, d):

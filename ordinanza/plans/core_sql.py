@@ -220,7 +220,7 @@ SELECT question_id, array_to_string((list(t ORDER BY i))[1:5], '|') AS terms FRO
     "dedup_terms": """SELECT question_id, query_ord, query FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lower(query) ORDER BY query_ord) AS n FROM search_queries WHERE query IS NOT NULL) WHERE n = 1""",
     "index_scan": f"WITH {INDEX} SELECT doc_id, section, content FROM idx WHERE source = 'larkmoor-code'",
     "index_stats": f"WITH {INDEX} SELECT source, count(*) AS n_docs FROM idx GROUP BY ALL",
-    "documents_projection": "SELECT ordinal, section, content, 'EP_Ordinances.pdf' AS doc_source FROM sections WHERE content IS NOT NULL",
+    "documents_projection": "SELECT ordinal, section, content, 'code_of_ordinances.pdf' AS doc_source FROM sections WHERE content IS NOT NULL",
     "index_describe": f"WITH {DESCRIBE} SELECT * FROM ds",
     "populated": f"WITH {DESCRIBE} SELECT source, n_docs FROM ds WHERE n_docs > 0 AND length(source) <= 17",
     "batches": "SELECT ordinal, ((row_number() OVER (ORDER BY ordinal) - 1) // 50)::BIGINT AS batch_no FROM sections",

@@ -64,6 +64,7 @@ def write_whole_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
+# The word and the name patterns by which an index folder is known.
 def discover_indexes(root: str, word: str = "chroma", patterns: tuple[str, ...] = ("chroma_db*", "*chroma*", "db*")) -> list[str]:
     """Names of folders that look like an index: by word or by pattern, each once, sorted."""
     named = [d for d in os.listdir(root) if word in d.lower()]
