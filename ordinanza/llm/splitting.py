@@ -112,8 +112,9 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 500, overla
     limit; null unless oversized) and, ``with_text``, piece.
 
     Every piece has at most ``limit`` characters and begins with exactly the
-    last ``overlap`` characters of the one before; without the overlaps the
-    pieces join to the original text.  Null texts give no rows, the empty text
+    last ``overlap`` characters of the one before, or with all of it where it
+    has fewer (a short first piece), as overlap_chars says; without the
+    overlaps the pieces join to the original text.  Null texts give no rows, the empty text
     one empty piece, repeated keys are split each on their own.  Row-local: one
     Arrow pass, no shuffle; other columns are not read.
     """
@@ -128,7 +129,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 500, overla
                 big = len(t) > limit
                 level = LEVELS[cut_level(t, limit)] if big else None
                 for i, (x, y, s) in enumerate(split_spans(t, limit, overlap)):
-                    o = overlap if i else 0
+                    o = min(overlap, x)
                     rows.append((k, i, x - o + 1, y - x + o, o, "start" if i == 0 else LEVELS[s], big, level, *((t[x - o : y],) if with_text else ())))
             yield pd.DataFrame(rows, columns=names)
 
