@@ -61,11 +61,12 @@ def fallback_label(s, d):
 
 
 def fallback_chunks(s, d):
-    """Sources with fewer than 10 sections are chunked at 1000 characters instead, each chunk labelled."""
-    few = section_counts(s, d).where("n_sections < 10").select("source")
-    e = sources.elements_in_order(_t(s, d, "ocr_elements").where("source is not null and text is not null")).join(few, "source")
+    """Sources with fewer than 10 valid sections, or none at all, are chunked whole at 1000 characters instead, each chunk labelled."""
+    e = _t(s, d, "ocr_elements").where("source is not null and text is not null")
+    few = e.select("source").distinct().join(section_counts(s, d), "source", "left").where("coalesce(n_valid, 0) < 10").select("source")
+    e = sources.elements_in_order(e.join(few, "source"))
     pages = e.groupBy("source", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    c = chunks.expand_children(pages, "source", "t", "page", size=1000, overlap=200)
+    c = chunks.expand_pages(pages, "source", "page", "t", size=1000, overlap=200)
     return c.withColumn("label", sections.fallback_label(F.col("chunk"), F.col("chunk_no")))
 
 
