@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .copies import fields, is_fields
+from .copies import FIELD, fields, is_fields
 
 SALTS = 16
+CLOSING_SHARE = 0.5
 # What a cut text says at its end.
 _MARKER = r"(?i)(?:…|\.\.\.|[\[(<][^\])>]{0,30}(?:continued|missing|cut|next page|truncated|illegible)[^\])>]{0,30}[\])>]|--+\s*(?:see|continued|cut|page)[^\n]{0,40})[\s\p{Z}]*$"
 _PAGE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?[^\p{L}\p{N}\n.,;:%)]*$"
@@ -49,23 +50,42 @@ def next_in_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     return d.withColumn(out, F.when(ng.eqNullSafe(F.col(group)), nv)).drop("_p", "_ng", "_nv", "_last", "_nf")
 
 
+def _closing_shares(texts: DataFrame, text: str, ends: DataFrame) -> DataFrame:
+    """(_end, _share): of the places of a word pair in the texts, the share that closes a sentence.
+
+    ``ends`` holds the distinct pairs asked for.  An end of a text without a mark is no place.
+    """
+    spans = F.split(F.concat(F.regexp_replace(F.lower(text), r"\p{N}+", "0"), F.lit(" ")), r"[.!?;](?=[\s\p{Z}\p{Cf}\"”’)])")
+    words = F.transform(spans, lambda v: F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}]+"), 0))
+    pair = lambda w: lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, 2)).alias("p"), (i == F.size(w) - 1).alias("last"))
+    pairs = lambda w, n: F.filter(F.transform(F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), pair(w)), lambda x: ~x["last"] | (n < F.size(spans) - 1))
+    seen = texts.select(F.explode(F.flatten(F.transform(words, pairs))).alias("_x")).select(F.col("_x.p").alias("_end"), F.col("_x.last").cast("int").alias("_last"))
+    return seen.join(ends, "_end", "left_semi").groupBy("_end").agg(F.avg("_last").alias("_share"))
+
+
 def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars: int = 30) -> DataFrame:
     """(key, group, whole): whether a content holds its group's whole text in any wording.
 
     Not whole are: null, blank and stand-in contents (fewer than ``min_chars``
     letters and digits); contents with a mark of being cut at their end; contents
     that continue in another row of the group (their letters and digits begin a
-    longer one by more than a note that several groups add) or lack a stretch before their end (same last letters, clearly
+    longer one by more than a few, or than a short closed note behind a closed text or a
+    complete entry) or lack a stretch before their end (same last letters, clearly
     shorter than the longest that ends so); running text without a closing mark, unless the same letters
-    stand with one elsewhere in the group, or its last two words close sentences
-    elsewhere and its length is that of the group's closed text, if it has one; ``Key: value`` contents with fewer fields, and lists and tables
+    stand with one elsewhere in the group, or its last two words close a text of the
+    group or at least half of their places in all texts, and its length is that of the group's closed text, if it has one; ``Key: value`` contents with fewer fields, and lists and tables
     with clearly fewer characters, than the fullest of the group.
     """
     c = F.col(content)
     x = df.where(c.isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), c.alias("_c"))
-    bare = F.regexp_replace(F.regexp_replace("_c", _PAGE, ""), _HEADER, "")
+    clean = lambda v: F.regexp_replace(F.regexp_replace(v, _PAGE, ""), _HEADER, "")
+    bare = clean(F.col("_c"))
     x = x.withColumn("_canon", _canon(F.col("_c"))).where(F.length("_canon") >= min_chars)
     x = x.withColumn("_cutmark", F.col("_c").rlike(_MARKER)).withColumn("_closed", bare.rlike(r"[.!?;][\s\p{Z}\p{Cf}\"”’)]*$"))
+    x = x.withColumn("_item", F.col("_c").rlike(r"[,;|][\s\p{Z}\p{Cf}]*$"))
+    lines = F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"[\p{L}\p{N}]"))
+    entry = lambda v: v.rlike(_MARKED) | v.rlike(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S") | v.rlike(FIELD)
+    x = x.withColumn("_entry", F.coalesce(F.when(entry(F.element_at(lines, -1)), F.length(F.regexp_replace(F.element_at(lines, -1), r"[^\p{L}\p{N}]+", ""))), F.lit(0)))
     n_lines = F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S")))
     marked, cells = F.size(F.regexp_extract_all("_c", F.lit(_MARKED), 0)), F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S") & (F.length(v) < 120)))
     kind = F.when(is_fields(F.col("_c")), "fields").when(marked * 2 > n_lines, "list").when((cells * 2 > n_lines) & (n_lines > 2), "table").otherwise("prose")
@@ -81,24 +101,31 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     of = lambda k: F.max(F.when(F.col("_kind") == k, F.col("_n")))
     closed_len = F.max(F.when((F.col("_kind") == "prose") & F.col("_closed") & ~F.col("_cutmark") & ~F.col("_gap"), F.col("_len")))
     top = x.groupBy("_g").agg(of("fields").alias("_tf"), of("list").alias("_tl"), of("table").alias("_tt"), closed_len.alias("_tp"))
-    forms = x.groupBy("_g", "_canon").agg(F.max("_closed").alias("_any_closed"))
-    forms = next_in_group(forms, "_g", "_canon", "_next").select(
-        "_g",
-        F.xxhash64("_canon").alias("_h"),
-        "_any_closed",
-        F.when(F.col("_next").startswith(F.col("_canon")), F.expr("substring(_next, length(_canon) + 1)")).otherwise("").alias("_rest"),
+    forms = x.groupBy("_g", "_canon").agg(
+        F.max("_closed").alias("_any_closed"),
+        F.max("_item").alias("_any_item"),
+        F.max(F.col("_closed") & ~F.col("_cutmark")).alias("_sound"),
+        F.max("_entry").alias("_entry"),
     )
-    forms = cut(forms.withColumn("_more", F.length("_rest")))
-    added = forms.where("_more between 3 and 40").groupBy("_rest").agg(F.count("*").alias("_times")).where("_times >= 3").select("_rest", F.lit(True).alias("_added"))
-    forms = forms.join(added, "_rest", "left").withColumn("_more", F.when(F.col("_added"), 0).otherwise(F.col("_more"))).drop("_rest", "_added")
-    ends = x.where("_closed and _kind = 'prose' and not _cutmark").groupBy("_end").agg(F.count("*").alias("_times")).where("_times >= 2").select("_end", F.lit(True).alias("_known_end"))
-    y = x.join(forms, ["_g", "_h"]).join(ends, "_end", "left")
+    forms = next_in_group(forms, "_g", "_canon", "_next")
+    follows = F.col("_next").startswith(F.col("_canon"))
+    forms = forms.withColumn("_more", F.when(follows, F.length("_next") - F.length("_canon")).otherwise(0)).withColumn("_hn", F.when(follows, F.xxhash64("_next")))
+    forms = cut(forms.withColumn("_h", F.xxhash64("_canon")).drop("_canon", "_next"))
+    after = forms.where("_sound").select("_g", F.col("_h").alias("_hn"), F.col("_entry").alias("_entry_next"))
+    forms = forms.join(after, ["_g", "_hn"], "left")
+    note = F.col("_more").between(3, 40) & F.coalesce(F.col("_entry_next") != F.col("_more"), F.lit(False)) & (F.col("_any_closed") | F.col("_any_item"))
+    forms = forms.select("_g", "_h", "_any_closed", F.when(note, 0).otherwise(F.col("_more")).alias("_more"))
+    ends = x.where("_kind = 'prose' and _closed and not _cutmark").groupBy("_g", "_end").agg(F.lit(True).alias("_end_closed"))
+    y = x.join(forms, ["_g", "_h"]).join(ends, ["_g", "_end"], "left")
+    open_ends = y.where("_kind = 'prose' and not _cutmark and not _any_closed and _end_closed is null").select("_end").distinct()
+    y = y.join(_closing_shares(df.where(c.isNotNull() & F.col(group).isNotNull()).select(clean(c).alias("_b")), "_b", open_ends), "_end", "left")
+    y = y.withColumn("_known_end", F.coalesce("_end_closed", F.col("_share") >= CLOSING_SHARE, F.lit(False)))
     y = salted(y, top, "_g", "_k")
     short = F.col("_gap") | (
         F.when(F.col("_kind") == "fields", F.col("_n") < F.col("_tf"))
         .when(F.col("_kind") == "list", (F.col("_n") < 0.9 * F.col("_tl")) & (F.col("_tl") - F.col("_n") > 30))
         .when(F.col("_kind") == "table", (F.col("_n") < 0.9 * F.col("_tt")) & (F.col("_tt") - F.col("_n") > 30))
-        .otherwise(~F.col("_any_closed") & ~(F.col("_known_end").isNotNull() & (F.col("_tp").isNull() | F.col("_len").between(0.92 * F.col("_tp"), 1.08 * F.col("_tp")))))
+        .otherwise(~F.col("_any_closed") & ~(F.col("_known_end") & (F.col("_tp").isNull() | F.col("_len").between(0.92 * F.col("_tp"), 1.08 * F.col("_tp")))))
     )
     whole = ~F.col("_cutmark") & ~short & ((F.col("_more") <= 2) | (F.col("_more") <= 15) & (F.col("_closed") | (F.col("_kind") == "fields")))
     got = y.select("_k", "_g", whole.alias("whole"))

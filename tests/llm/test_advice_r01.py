@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ordinanza.llm import splitting
+from ordinanza.llm import splitting, survivors
 
 
 def _round_trip(text, rows, overlap):
@@ -22,3 +22,18 @@ def test_pieces_after_a_short_first_piece(spark):
         rows = [r for r in got if r.k == k]
         assert len(rows) > 1 and all(len(r.piece) <= 450 for r in rows)
         _round_trip(t, rows, 50)
+
+
+def test_wholeness_does_not_hang_on_counts(spark):
+    start = "The owner of lot {} shall keep the fence in good order after the notice"
+    cut_off = [(2 * i + j, i, start.format("abc"[i]) + rest) for i in range(3) for j, rest in enumerate(("", " is given by the board."))]
+    ends = [(20 + i, 20 + i, f"The board may look at the {w} of every lot once a year without the notice.") for i, w in enumerate(("fence", "hedge"))]
+    text = "The council may set a fee for each permit and shall publish it in March."
+    noted = [(30, 30, text), (31, 30, text + " This section was carried over.")]
+    listed = [(40, 40, "Bring these:\n1. a map of the lot,\n2. a survey of the lot,"), (41, 40, "Bring these:\n1. a map of the lot,\n2. a survey of the lot,\n3. the fee for it.")]
+    df = lambda rows: spark.createDataFrame(rows, "k int, g int, t string")
+    whole = lambda rows: {r.k: r.whole for r in survivors.whole_content(df(rows), "k", "g", "t").collect()}
+    few, many = whole(cut_off[:2] + noted), whole(cut_off + ends + noted + listed)
+    assert few == {0: False, 1: True, 30: True, 31: True}
+    assert {k: many[k] for k in few} == few and not many[2] and not many[4]
+    assert not many[40] and many[41]
