@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, STRIDE = 12, 12
+RUN, STRIDE, MARGIN = 12, 12, 12
 MAX_ITEM_CHARS = 20_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -176,6 +176,30 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return prev[-1]
 
 
+def passage_cover(doc: list[str], item: list[str], size: int, least: float) -> float:
+    """The largest share of ``size`` consecutive words of the item that a common
+    subsequence with ``doc`` covers; 0 where none reaches ``least``.
+
+    One machine word holds the state of a stretch; only stretches with enough
+    words that occur in ``doc`` are compared.
+    """
+    masks: dict[str, int] = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << i
+    row = [masks[w] for w in doc if w in masks]
+    there, full, best = set(doc), (1 << size) - 1, 0
+    held = [w in there for w in item]
+    for at in range(max(1, len(item) - size + 1)):
+        if sum(held[at : at + size]) < max(least * size, best + 1):
+            continue
+        v = full
+        for m in row:
+            u = v & (m >> at)
+            v = ((v + u) | (v - u)) & full
+        best = max(best, size - v.bit_count())
+    return best / max(1, size) if best >= least * size else 0.0
+
+
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cosine: float = 0.4, item_type: str = "long", paraphrase: float | None = None) -> DataFrame:
     """(doc_id, item_id, run_words, lcs_share): items of which a document holds a passage.
 
@@ -184,9 +208,10 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cos
     those with a cosine of at least ``min_cosine`` to an item passage are
     candidates.  A candidate leaks if document and item share 12 consecutive
     words (run_words is the longest shared run around the first of the candidates);
-    with ``paraphrase``, also if the longest common subsequence of the passages
-    covers that share of the item passage.  lcs_share is that cover, computed
-    only with ``paraphrase``, else null.
+    with ``paraphrase``, also if the longest common subsequence covers that share
+    of 24 consecutive words of the item (of all, if it has fewer).  Both passages
+    are compared with MARGIN words more on either side, so that their places do
+    not matter.  lcs_share is that cover, computed only with ``paraphrase``, else null.
 
     Row-local after the fit: no shuffle.  Null and empty texts and items of
     fewer than 12 words give no rows.
@@ -221,11 +246,14 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: Items, *, min_cos
                 around = ws[max(0, first - RUN) : first + 3 * RUN]
                 got[0] = max(got[0], longest_common_run(around, item_words[item]))
             if paraphrase is not None:
+                around = ws[max(0, first - MARGIN) : first + 2 * STRIDE + MARGIN]
                 for c in near:
                     item = int(owner[c])
+                    if len(item_words[item]) < RUN:
+                        continue
                     at = STRIDE * (c - int(np.searchsorted(owner, item)))
-                    target = item_words[item][at : at + 2 * STRIDE]
-                    share = common_subsequence(piece, target) / max(1, len(target))
+                    target = item_words[item][max(0, at - MARGIN) : at + 2 * STRIDE + MARGIN]
+                    share = passage_cover(around, target, min(2 * STRIDE, len(target)), 0.0 if (n, item) in found else paraphrase)
                     if share >= paraphrase or (n, item) in found:
                         got = found.setdefault((n, item), [0, None])
                         got[1] = max(got[1] or 0.0, share)

@@ -131,7 +131,7 @@ def p7_found(s, d):
 def p7_paraphrases(s, d):
     docs = _t(s, d, "documents")
     items = leaks.fit_space(docs, "text", leaks.read_items(_t(s, d, "eval_items"), "item_id", "item_text"))
-    return leaks.find_leaks(docs, "doc_id", "text", items, min_cosine=0.6, paraphrase=0.6)
+    return leaks.find_leaks(docs, "doc_id", "text", items, paraphrase=0.6)
 
 
 # -- 8 mixing ------------------------------------------------------------------

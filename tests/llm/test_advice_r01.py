@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ordinanza.llm import splitting, survivors
+from ordinanza.llm import leaks, splitting, survivors
 
 
 def _round_trip(text, rows, overlap):
@@ -37,3 +37,23 @@ def test_wholeness_does_not_hang_on_counts(spark):
     assert few == {0: False, 1: True, 30: True, 31: True}
     assert {k: many[k] for k in few} == few and not many[2] and not many[4]
     assert not many[40] and many[41]
+
+
+def test_paraphrase_is_found_at_any_place(spark):
+    item = [f"t{i}" for i in range(72)]
+    stretch = lambda at: [w if i % 5 else "other" for i, w in enumerate(item[at : at + 24])]
+    docs = [(12 * a + b, " ".join([f"d{i}" for i in range(b)] + stretch(6 * a) + ["end"] * 20)) for a in range(9) for b in range(12)]
+    df = spark.createDataFrame([*docs, (900, " ".join(item[:60:5]))], "d int, t string")
+    it = leaks.read_items(spark.createDataFrame([(1, " ".join(item)), (2, "t1 t2 t3")], "i long, t string"), "i", "t")
+    got = leaks.find_leaks(df, "d", "t", leaks.fit_space(df, "t", it), paraphrase=0.6).collect()
+    assert {(r.d, r.item_id) for r in got} == {(d, 1) for d, _ in docs} and all(0.7 < r.lcs_share < 0.9 for r in got)
+
+
+def test_passage_cover_against_brute_force():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        doc, item, size = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))], [rng.choice("abcdefgh") for _ in range(rng.randint(8, 30))], rng.randint(1, 8)
+        want = max(leaks.common_subsequence(doc, item[at : at + size]) for at in range(len(item) - size + 1)) / size
+        assert leaks.passage_cover(doc, item, size, 0.0) == want and leaks.passage_cover(doc, item, size, 0.6) == (want if want >= 0.6 else 0)
