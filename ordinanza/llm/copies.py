@@ -21,7 +21,7 @@ def canonical(text: Column) -> Column:
     """
     t = F.regexp_replace(F.lower(text), r"[\p{Cf}\p{Cc}&&[^\s\x{1c}-\x{1f}\x{85}]]", "")
     t = F.regexp_replace(t, _SPACE, " ")
-    return F.trim(F.regexp_replace(t, _SIGNS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, _SIGNS, " "), " +", " "))
 
 
 def fields(text: Column) -> Column:

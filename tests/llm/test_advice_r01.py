@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ordinanza.llm import leaks, splitting, survivors
+from ordinanza.llm import copies, leaks, splitting, survivors
 
 
 def _round_trip(text, rows, overlap):
@@ -57,3 +57,8 @@ def test_passage_cover_against_brute_force():
         doc, item, size = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))], [rng.choice("abcdefgh") for _ in range(rng.randint(8, 30))], rng.randint(1, 8)
         want = max(leaks.common_subsequence(doc, item[at : at + size]) for at in range(len(item) - size + 1)) / size
         assert leaks.passage_cover(doc, item, size, 0.0) == want and leaks.passage_cover(doc, item, size, 0.6) == (want if want >= 0.6 else 0)
+
+
+def test_signs_between_numbers_separate_like_a_space(spark):
+    df = spark.createDataFrame([("rooms 5, 6",), ("rooms 5 6",), ("rooms 5 -- 6",), ("rooms 5.6",)], "t string")
+    assert [r.c for r in df.select(copies.canonical(F.col("t")).alias("c")).collect()] == ["rooms 5 6"] * 3 + ["rooms 5.6"]
