@@ -252,34 +252,76 @@ def loss_and_grads(p: dict[str, np.ndarray], ids: np.ndarray, gold: np.ndarray,
     return float((logz - score).sum() / n), g
 
 
-def train(windows, tags, *, hidden=32, dim=16, epochs=12, batch=128, rate=4e-3, seed=7, say=None, seconds=1e9, start=None):
-    """Fit by Adam on equal-length id windows and tags (N, T); 0 pads the end."""
-    import time
+def _worker(rank, workers, p, shared, grads, losses, barrier, windows, tags, batch, seed, epochs):
+    """Gradients of every ``workers``-th row of each batch, step by step with the others."""
+    import os
 
-    rng = np.random.default_rng(seed)
-    p = start or init(hidden, dim, rng)
-    m1 = {k: np.zeros_like(v) for k, v in p.items()}
-    m2 = {k: np.zeros_like(v) for k, v in p.items()}
-    step, began, total = 0, time.time(), epochs * (len(windows) // batch)
+    os.nice(1)
+    views, at = {}, 0
+    for k in sorted(p):
+        views[k] = shared[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
     for epoch in range(epochs):
-        order = rng.permutation(len(windows))
-        run = []
+        order = np.random.default_rng(seed + epoch).permutation(len(windows))
         for at in range(0, len(order) - batch + 1, batch):
-            if time.time() - began > seconds:
-                return p
-            pick = order[at : at + batch]
+            barrier.wait()
+            if losses[-1]:
+                return
+            pick = order[at : at + batch][rank::workers]
             ids, gold = windows[pick].T, tags[pick].T
-            loss, g = loss_and_grads(p, ids, gold, (ids > 0).astype(np.float32))
-            run.append(loss)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            clip = min(1.0, 1.0 / (norm + 1e-9))
+            losses[rank], g = loss_and_grads(views, ids, gold, (ids > 0).astype(np.float32))
+            grads[rank] = np.concatenate([g[k].ravel() for k in sorted(p)])
+            barrier.wait()
+
+
+def train(windows, tags, *, hidden=32, dim=16, epochs=12, batch=384, rate=6e-3, seed=7, say=None, seconds=1e9, start=None, workers=8):
+    """Fit by Adam on equal-length id windows and tags (N, T); 0 pads the end.
+
+    Every batch is shared out over ``workers`` processes, whose gradients are averaged.
+    """
+    import multiprocessing as mp
+    import time
+
+    ctx = mp.get_context("fork")
+    p = start or init(hidden, dim, np.random.default_rng(seed))
+    keys, n = sorted(p), sum(v.size for v in p.values())
+    batch = min(batch, len(windows)) // workers * workers
+    shared = np.frombuffer(ctx.RawArray("f", n), np.float32)
+    grads = np.frombuffer(ctx.RawArray("f", n * workers), np.float32).reshape(workers, n)
+    losses = np.frombuffer(ctx.RawArray("f", workers + 1), np.float32)
+    shared[:] = np.concatenate([p[k].ravel() for k in keys])
+    barrier = ctx.Barrier(workers + 1)
+    crew = [ctx.Process(target=_worker, args=(r, workers, p, shared, grads, losses, barrier, windows, tags, batch, seed, epochs), daemon=True) for r in range(workers)]
+    for c in crew:
+        c.start()
+    m1, m2 = np.zeros(n, np.float32), np.zeros(n, np.float32)
+    steps, began = len(windows) // batch, time.time()
+    step, total = 0, epochs * steps
+    for epoch in range(epochs):
+        run = []
+        for _ in range(steps):
+            late = (time.time() - began) / seconds
+            losses[-1] = late > 1
+            barrier.wait()
+            if late > 1:
+                break
+            barrier.wait()
+            g = grads.mean(0)
+            run.append(losses[:-1].mean())
+            g *= min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-9))
             step += 1
-            lr = rate * min(1, step / 50) * max(0.03, 1 - step / total)
-            for k in p:
-                v = g[k] * clip
-                m1[k] = 0.9 * m1[k] + 0.1 * v
-                m2[k] = 0.99 * m2[k] + 0.01 * v * v
-                p[k] = (p[k] - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            lr = rate * min(1, step / 50) * max(0.03, 1 - max(step / total, late))
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            shared -= lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+        if losses[-1]:
+            break
         if say:
             say(f"epoch {epoch} loss {np.mean(run):.5f} after {time.time() - began:.0f} s")
-    return p
+    for c in crew:
+        c.join()
+    out, at = {}, 0
+    for k in keys:
+        out[k] = shared[at : at + p[k].size].reshape(p[k].shape).copy()
+        at += p[k].size
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import charcrf
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, OVERLAP, BATCH = 256, 64, 384
+WINDOW, OVERLAP, BATCH = 512, 64, 256
 _MODEL: dict = {}
 
 
@@ -42,7 +42,7 @@ def _windows(ids: list[np.ndarray]):
 def tag_texts(texts: list[str], model: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Tag numbers of every character of every text.
 
-    Texts are cut into windows of 256 characters that overlap by 64.  Windows
+    Texts are cut into windows of 512 characters that overlap by 64.  Windows
     are decoded in batches sorted by length; of two windows over one character
     the one with the longer context to its edge decides, so that the seams of
     all windows are reconciled over the whole text.
@@ -87,21 +87,29 @@ _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?|\s(?:dot|DOT)\s)"
 EMAIL = re.compile(rf"[^\W_](?:[\w.+'-]*\w)?{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+", re.I)
 PHONE = re.compile(r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,10}(?:[\s./-]\d{2,6}){0,4}|\+?1[\s.-]?\(?\d{3}\)?[\s./-]?\d{3}[\s.-]?\d{4}")
 IDENT = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{9}|[A-Z]\d{7,8}[A-Z]?|\d{7,8}[- ]?[A-Z]|[A-Z]{3} \d{4} \d{4}|[A-Z]{2}-\d{4}-\d{4}")
-_SHORT_WAYS = r"st|ln|rd|ave|blvd|dr|pl|ct"
-_WAYS = r"street|st|lane|ln|road|rd|avenue|ave|boulevard|blvd|drive|dr|terrace|place|pl|court|ct|way"
+_SOCIAL = re.compile(r"\d{3}-\d{2}-\d{4}")
+_SHORT_WAYS = r"st|ln|rd|ave|blvd|dr|pl|ct|cir|pkwy|hwy|ter|sq"
+_WAYS = (
+    r"street|st|lane|ln|road|rd|avenue|ave|boulevard|blvd|drive|dr|terrace|place|pl|court|ct|way|circle|cir|parkway|pkwy|trail|crescent|close|row|"
+    r"square|sq|loop|alley|walk|highway|hwy|path|mews|grove|hill|ridge|run|bend|pike|gardens|green"
+)
 ADDRESS = re.compile(
-    rf"\d{{1,5}}(?:-\d{{1,3}}|[a-z])?(?:\s\d/\d)?\s(?:[nsew]\.?\s|north\s|south\s|east\s|west\s)?(?:[^\W\d_][\w'’-]*\s){{1,3}}?(?:(?:{_SHORT_WAYS})\b\.?|(?:{_WAYS})\b)"
+    rf"\d{{1,5}}(?:-\d{{1,3}}|[a-z])?(?:\s\d/\d)?\s(?:[nsew]\.?\s|north\s|south\s|east\s|west\s)?(?:[^\W\d_][\w'’-]*\s){{1,3}}?(?:(?:{_SHORT_WAYS})\b\.?|(?:{_WAYS})\b)(?:\s(?-i:(?=[A-Z][a-z]))(?:{_WAYS})\b)?"
     r"|(?:calle|paseo|avenida|plaza|camino)\s(?:[^\W\d_][\w'’-]*\s){1,3}?\d{1,5}\b",
     re.I,
 )
 _PART = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 NAME = re.compile(rf"{_PART},\s+{_PART}(?:\s+[^\W\d_]\.)?|(?:{_PART}|[^\W\d_]\.)(?:\s+[^\W\d_]\.)?\s+{_PART}|{_PART}", re.U)
 TITLE = re.compile(r"(?:(?:mr|mrs|ms|mx|dr|rev|sr|sra|srta|fr|prof|hon)\.|don|doña)\s+", re.I)
-_NOT_A_NAME = re.compile(rf"\s+(?:{_WAYS}|plaza|hall|room|reading|park|works|trust|pier|bridge)\b", re.I)
-# Words that are no part of a name.
-_NEVER = frozenset(
+CLOSING = re.compile(r"(?:yours|sincerely|regards|respectfully|thanks|cordially|best)(?:\s+\w+)?,\s+", re.I)
+_NOT_A_NAME = re.compile(rf"\s+({_WAYS}|plaza|hall|room|reading|park|works|trust|pier|bridge)\b", re.I)
+# Months, which are no name by themselves, and words that are no part of a name.
+_MONTHS = frozenset(
     "january february march april may june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre "
-    "octubre noviembre diciembre the of and to in a is that for it as was with be by on not are or from at which but have had they were before after between "
+    "octubre noviembre diciembre".split()
+)
+_NEVER = frozenset(
+    "the of and to in a is that for it as was with be by on not are or from at which but have had they were before after between "
     "under section explain suppose meanwhile neither choose last monday tuesday wednesday thursday friday saturday sunday".split()
 )
 _RULES = {"email": EMAIL, "phone": PHONE, "id": IDENT, "address": ADDRESS}
@@ -111,13 +119,23 @@ _WORDISH = re.compile(r"[\w'’-]")
 def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The exact bounds of a tagged span, or None where it cannot be of its kind.
 
-    The span is matched against the form of its kind inside a margin around it;
-    the match that covers most of the span decides, so that a start or end that
-    the tagger missed by some characters is put right.
+    The span is matched against the form of its kind inside a margin around it,
+    which grows until the match ends inside it; the match that covers most of
+    the span decides, so that a start or end that the tagger missed is put right.
     """
     if kind == "name":
         return _check_name(text, a, b)
-    lo, hi = max(0, a - 24), min(len(text), b + 40)
+    room = 40
+    while True:
+        lo, hi = max(0, a - room), min(len(text), b + room)
+        best = _best_match(text, a, b, lo, hi, kind)
+        whole = lo == 0 and hi == len(text)
+        if whole or (best and lo < best[0] and best[1] < hi) or (not best and room > 4 * (b - a) + 1000):
+            return best and best[:2]
+        room *= 4
+
+
+def _best_match(text: str, a: int, b: int, lo: int, hi: int, kind: str) -> tuple[int, int, int] | None:
     best = None
     for m in _RULES[kind].finditer(text, lo, hi):
         x, y = m.span()
@@ -134,7 +152,7 @@ def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             continue
         if best is None or cover > best[2]:
             best = (x, y, cover)
-    return best and best[:2]
+    return best
 
 
 def _check_name(text: str, a: int, b: int) -> tuple[int, int] | None:
@@ -147,14 +165,21 @@ def _check_name(text: str, a: int, b: int) -> tuple[int, int] | None:
     while b < len(text) and _WORDISH.match(text[b]) and text[b - 1] != ".":
         b += 1
     m = TITLE.match(text, a)
+    if m and m.end() < b:
+        a = m.end()
+    m = CLOSING.match(text, a)
     if m and m.end() < b:
         a = m.end()
     m = NAME.match(text, a)
-    if not m or text[a : a + 1] == "" or _NOT_A_NAME.match(text, max(m.end(), b)):
+    if not m or text[a : a + 1] == "":
+        return None
+    m = _NOT_A_NAME.match(text, max(m.end(), b))
+    if m and (m.group(1)[0].isupper() or text[a:b].islower()):
         return None
     if a and text[a - 1] in "@.+_" or text[b : b + 1] in ("@", "_"):
         return None
-    if any(w in _NEVER for w in re.findall(r"[^\W\d_]{2,}", text[a:b].lower())) or text[a:b].islower() and " " not in text[a:b]:
+    parts = re.findall(r"[^\W\d_]{2,}", text[a:b].lower())
+    if any(w in _NEVER for w in parts) or all(w in _MONTHS for w in parts) or parts[-1:] and parts[-1] in _MONTHS and re.match(r"\.?\s*\d", text[b : b + 4]) or text[a:b].islower() and " " not in text[a:b]:
         return None
     if b - a < 3 or any(c.isdigit() for c in text[a:b]):
         return None
@@ -168,6 +193,11 @@ def find_spans(texts: list[str], model: dict[str, np.ndarray]) -> list[list[tupl
         got = []
         for a, b, kind in raw_spans(tags):
             s = check_span(text, a, b, kind)
+            if not s and kind == "phone":
+                s = check_span(text, a, b, "id")
+                kind = "id"
+            elif s and kind == "phone" and _SOCIAL.fullmatch(text, *s):
+                kind = "id"
             if s:
                 got.append((*s, kind))
         got.sort(key=lambda s: (s[0] - s[1], s[0], s[2]))
