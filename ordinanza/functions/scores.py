@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import SECTION_REF, contains_any, first_match, strings, strip, tokens
+from .text import SECTION_REF, SPACE, contains_any, first_match, strings, strip, tokens
 
 
 def section_bonus(section: Column, table=L.SECTION_BONUS) -> Column:
@@ -58,21 +58,20 @@ def section_refs_all(text: Column) -> Column:
     pats = [
         r"(?i)section\s+(\d+\.\d+\.\d+(?:\.\d+)*)",
         r"(?i)\b(\d+\.\d+\.\d+(?:\.\d+)*)\b",
-        r"(?i)chapter\s+(\d+\.\d+(?:\.\d+)*)",
+        r"(?i)chapter\s+(\d+\.\d+)",
     ]
     return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for p in pats])))
 
 
 def search_terms(text: Column) -> Column:
-    """What follows 'SEARCH:' on its line, trimmed, empty ones dropped."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)search:[^\S\n]*([^\n]+)"), 1)
+    """What follows 'SEARCH:' and white space, line ends too, up to the end of that line; trimmed, empty ones dropped."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)search:{SPACE}*([^\n]+)"), 1)
     return F.filter(F.transform(found, strip), lambda t: t != "")
 
 
 def quick_terms(answer: Column, question: Column, topics=L.QUICK_TOPICS) -> Column:
-    """At most two section references and one topic search."""
-    both = F.lower(F.concat_ws(" ", answer, question))
-    topic = first_match(both, topics, lambda t: strings([t]))
+    """At most two section references of the answer and one search of the question's topic."""
+    topic = first_match(F.lower(F.coalesce(question, F.lit(""))), topics, lambda t: strings([t]))
     return F.slice(F.concat(F.slice(section_refs(answer), 1, 2), F.coalesce(topic, strings([]))), 1, 3)
 
 

@@ -58,17 +58,27 @@ def strip_ansi(c: Column) -> Column:
 
 
 def wrap(c: Column, width: int) -> Column:
-    """Greedy word wrap: an array of lines, none longer than ``width`` unless one word is."""
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    """Greedy word wrap: an array of lines, none longer than ``width`` unless one word is.
+
+    Every word counts one more than its letters, but for the word that begins a
+    new line; so the first line holds one character less than the others.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("used"))
 
     def step(acc, word):
-        joined = F.when(acc["line"] == "", word).otherwise(F.concat_ws(" ", acc["line"], word))
-        fits = (F.length(joined) <= width) | (acc["line"] == "")
+        used = acc["used"] + F.length(word) + 1
+        fits = used <= width
         return F.struct(
-            F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))).alias("lines"),
-            F.when(fits, joined).otherwise(word).alias("line"),
+            F.when(fits | (acc["line"] == ""), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))).alias("lines"),
+            F.when(fits & (acc["line"] != ""), F.concat_ws(" ", acc["line"], word)).otherwise(word).alias("line"),
+            F.when(fits, used).otherwise(F.length(word)).alias("used"),
         )
 
     return F.aggregate(
         tokens(c), start, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"])))
     )
+
+
+def clock(c: Column) -> Column:
+    """Time of day as HH:mm:ss, in the session's time zone."""
+    return F.date_format(c, "HH:mm:ss")

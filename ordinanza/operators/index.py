@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from ..sources import exists
+from .chunks import expand_children
+from .search import knn
+
 
 def write_index(chunks: DataFrame, path: str, collection: str, mode: str = "overwrite") -> None:
     """One distributed write, partitioned by collection; other collections stay.
@@ -31,10 +36,11 @@ def populated(report: DataFrame) -> DataFrame:
 def batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     """(key, batch_no): rows in key order, ``size`` per batch, without one task seeing all rows.
 
-    Rows are range-partitioned by the key and numbered inside their partition;
-    the partition offsets, one row per partition, are added by a join.
+    Rows are range-partitioned by the key, which is materialised once, and
+    numbered inside their partition; the partition offsets, one row per
+    partition, are added by a join.
     """
-    part = df.select(key).repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
+    part = cut(df.select(key).repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
     part = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
     n = part.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"))
     before = Window.partitionBy(F.lit(0)).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,6 +48,60 @@ def batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     return part.join(n, "_p").select(key, F.floor((F.col("_i") + F.col("_off")) / size).cast("long").alias("batch_no"))
 
 
+def load_index(parents: DataFrame, path: str, collection: str, embed, *, key: str, text: str, section: str = "section", size: int = 50) -> DataFrame:
+    """Write parents, their children with vectors, and return the outcome per batch.
+
+    Below ``path``, ``parents`` holds (parent_id, section, content, batch_no)
+    and ``index`` (chunk_id, parent_id, chunk_no, section, content, embedding),
+    both partitioned by collection.  The outcome, (batch_no, n_docs, n_written,
+    n_chunks, ok, message), compares the batches asked for with what the store
+    holds after the write.  Parents without text are no documents; a parent whose
+    text the model cannot embed is stored, but its batch is not ok.
+    """
+    spark = parents.sparkSession
+    docs = parents.where(F.col(text).isNotNull()).select(F.col(key).alias("parent_id"), F.col(section).alias("section"), F.col(text).alias("content"))
+    docs = docs.join(batches(docs, "parent_id", size), "parent_id")
+    write_index(docs, f"{path}/parents", collection)
+    kept = read_index(spark, f"{path}/parents", collection)
+    kids = expand_children(kept, "parent_id", "content", "section", "batch_no")
+    kids = kids.select(F.sha2(F.concat_ws(":", "parent_id", "chunk_no"), 256).alias("chunk_id"), "parent_id", "chunk_no", "section", F.col("chunk").alias("content"), "batch_no")
+    write_index(kids.withColumn("embedding", embed(F.col("content"))), f"{path}/index", collection)
+    asked = docs.groupBy("batch_no").agg(F.count("*").alias("n_docs"))
+    written = kept.groupBy("batch_no").agg(F.count("*").alias("n_written"))
+    chunks = read_index(spark, f"{path}/index", collection).groupBy("batch_no").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("embedding").isNull()).alias("n_failed"))
+    out = asked.join(written, "batch_no", "left").join(chunks, "batch_no", "left").na.fill(0)
+    ok = (F.col("n_docs") == F.col("n_written")) & (F.col("n_failed") == 0)
+    said = F.when(ok, F.format_string("Batch %d (%d docs) added", F.col("batch_no") + 1, "n_docs")).otherwise(F.format_string("Batch %d failed: %d of %d docs stored, %d chunks without vector", F.col("batch_no") + 1, "n_written", "n_docs", "n_failed"))
+    return out.select("batch_no", "n_docs", "n_written", "n_chunks", ok.alias("ok"), said.alias("message"))
+
+
+def parents_of(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Whole parents of chunk hits, each once per question at the best rank of its chunks."""
+    best = hits.groupBy("question_id", "parent_id").agg(F.min("rank").alias("rank"))
+    return best.join(parents.select("parent_id", "section", "content"), "parent_id")
+
+
+def describe_path(spark: SparkSession, path: str, collection: str, embed, probe: str = "code") -> dict:
+    """{path, n_docs, status, sample_section, sample_content, error} of one stored index; any failure becomes its text.
+
+    The sample is the nearest chunk to ``probe``, its content cut at 100 characters.
+    """
+    got = {"path": path, "n_docs": 0, "status": "ERROR", "sample_section": None, "sample_content": None, "error": None}
+    try:
+        if not exists(spark, path):
+            return got | {"error": "Directory does not exist"}
+        index = read_index(spark, path, collection)
+        n = index.count()
+        if not n:
+            return got | {"status": "EMPTY"}
+        q = spark.range(1).select("id", embed(F.lit(probe)).alias("v"))
+        hit = knn(q, index, query_id="id", item_id="chunk_id", query_vector="v", item_vector="embedding", k=1)
+        row = hit.join(index, "chunk_id").select("section", F.left("content", F.lit(100)).alias("c")).first()
+        return got | {"n_docs": n, "status": "POPULATED", "sample_section": row and row.section, "sample_content": row and row.c}
+    except Exception as e:  # noqa: BLE001
+        return got | {"error": str(e).split("\n")[0]}
+
+
 def batch_report(df: DataFrame, batch: str, ok: Column) -> DataFrame:
     """Per batch: rows, whether every row loaded, and the number that failed."""
     return df.groupBy(batch).agg(

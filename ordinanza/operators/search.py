@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..session import cut
+
+MAX_BROADCAST = 64 << 20
+_ROWS, _QUERIES = 16_384, 256
+
+
+def _plain(a: np.ndarray):
+    """Ids as a column of plain objects, unless they are numbers."""
+    return pd.Series(a, dtype=object) if a.dtype == object else a
+
+
+def _nearest(v: np.ndarray, ks: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """The k nearest of all items of the batches for every row of ``v``: (q, x, dist).
+
+    A single-precision product selects, with a margin above its error; the
+    selected pairs are measured again in double precision.  Queries go in blocks
+    of 256 and items in blocks of 16,384, so that a product holds 16 MB.
+    """
+    best = pd.DataFrame({"q": np.zeros(0, np.int64), "x": [], "dist": np.zeros(0)})
+    v32, vv = v.astype(np.float32), (v * v).sum(1).astype(np.float32)
+    bound = np.full(len(v), np.inf)
+    for ids, w in batches:
+        for at in range(0, len(ids), _ROWS):
+            x, y = ids[at : at + _ROWS], w[at : at + _ROWS]
+            y32, yy = y.astype(np.float32), (y * y).sum(1).astype(np.float32)
+            new = []
+            for lo in range(0, len(v), _QUERIES):
+                hi = min(len(v), lo + _QUERIES)
+                d = vv[lo:hi, None] + yy[None] - 2 * v32[lo:hi] @ y32.T
+                k = min(int(ks[lo:hi].max()), len(x))
+                limit = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], bound[lo:hi])
+                r, c = np.nonzero(d <= (limit + 1e-4 * (1 + vv[lo:hi] + yy.max()))[:, None])
+                t = v[lo + r] - y[c]
+                new.append(pd.DataFrame({"q": lo + r, "x": _plain(x[c]), "dist": np.round((t * t).sum(1), 6)}))
+            best = pd.concat([best, *new]) if len(best) else pd.concat(new)
+            best = best.sort_values(["q", "dist", "x"], kind="stable")
+            rank = best.groupby("q").cumcount().to_numpy()
+            best = best[rank < ks[best["q"].to_numpy()]]
+            last = best.groupby("q")["dist"].agg(["max", "size"])
+            full = last[last["size"].to_numpy() >= ks[last.index]]
+            bound[full.index] = full["max"]
+    return best
 
 
 def knn(queries: DataFrame, index: DataFrame, *, query_id: str, item_id: str, query_vector: str, item_vector: str, k: int | str,
-        query_block: int = 4096, item_block: int = 50_000) -> DataFrame:
+        max_broadcast: int = MAX_BROADCAST, query_block: int = 512, item_block: int = 50_000) -> DataFrame:
     """Exact k nearest items of every query by squared L2: (query_id, item_id, dist, rank).
 
-    Queries and items are dealt into blocks and every pair of blocks is one
-    matrix product, so memory per task is bounded by the block sizes and
-    nothing is broadcast.  Each block pair keeps its k best; a window keeps the
-    k best of those.  ``k`` is a number or a column of the queries.  Distances
-    are rounded to 6 decimals, ties go to the smaller item id.  Null vectors
-    match nothing.
+    The queries are materialised once, which gives their exact size.  Up to
+    ``max_broadcast`` bytes of vectors go to every task, and the index streams
+    through once, unshuffled; each task keeps its k best, and a window the k
+    best of those.  Beyond that, queries and items are dealt into blocks and
+    every pair of blocks meets in one task.  ``k`` is a number or a column of
+    the queries.  Distances are rounded to 6 decimals, ties go to the smaller
+    item id.  Null vectors match nothing; repeated query ids count once each.
     """
     kcol = F.lit(k) if isinstance(k, int) else F.col(k)
-    q = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).cast("array<double>").alias("_v"), kcol.cast("int").alias("_k")).where("_v is not null")
-    x = index.select(F.col(item_id).alias("_x"), F.col(item_vector).cast("array<double>").alias("_w")).where("_w is not null")
-    nq = max(1, -(-q.count() // query_block))
-    nx = max(1, -(-x.count() // item_block))
-    q = q.withColumn("_bq", F.abs(F.hash("_q")) % nq).withColumn("_bx", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    x = x.withColumn("_bx", F.abs(F.hash("_x")) % nx).withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).cast("array<double>").alias("_v"), kcol.cast("int").alias("_k")).where("_v is not null and _k > 0")
+    x = index.select(F.col(item_id).alias("_x"), F.col(item_vector).alias("_w")).where("_w is not null")
+    q = cut(q)
+    size = q.agg(F.count("*").alias("n"), F.sum(F.size("_v")).alias("s")).first()
     qt, xt = dict(q.dtypes)["_q"], dict(x.dtypes)["_x"]
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_q": a["_q"][:0], "_x": b["_x"][:0], "dist": np.zeros(0), "_k": a["_k"][:0]})
-        if not len(a) or not len(b):
-            return empty
-        b = b.sort_values("_x")
-        v, w = np.stack(a["_v"].to_numpy()), np.stack(b["_w"].to_numpy())
-        d = np.round(np.maximum((v * v).sum(1)[:, None] + (w * w).sum(1)[None] - 2 * v @ w.T, 0), 6)
-        top = np.argsort(d, axis=1, kind="stable")[:, : int(a["_k"].max())]
-        keep = np.arange(top.shape[1])[None] < a["_k"].to_numpy()[:, None]
-        r, c = np.nonzero(keep)
-        t = top[r, c]
-        return pd.DataFrame({"_q": a["_q"].to_numpy()[r], "_x": b["_x"].to_numpy()[t], "dist": d[r, t], "_k": a["_k"].to_numpy()[r]})
-
-    near = q.groupBy("_bq", "_bx").cogroup(x.groupBy("_bq", "_bx")).applyInPandas(pair, f"_q {qt}, _x {xt}, dist double, _k int")
+    out = f"_q {qt}, _x {xt}, dist double, _k int"
+    matrix = lambda c: np.stack(c.to_numpy()).astype(np.float64)
+    if 8 * (size.s or 0) <= max_broadcast:
+        got = q.toPandas()
+        held = queries.sparkSession.sparkContext.broadcast((got["_q"].to_numpy(), matrix(got["_v"]) if len(got) else np.zeros((0, 1)), got["_k"].to_numpy()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, v, ks = held.value
+            if len(ids):
+                b = _nearest(v, ks, ((b["_x"].to_numpy(), matrix(b["_w"])) for b in batches if len(b)))
+                for lo in range(0, len(b), 5000):
+                    c = b.iloc[lo : lo + 5000]
+                    yield pd.DataFrame({"_q": _plain(ids[c["q"].to_numpy()]), "_x": _plain(c["x"].to_numpy()), "dist": c["dist"].to_numpy(), "_k": ks[c["q"].to_numpy()]})
+
+        near = x.mapInPandas(run, out)
+    else:
+        nq, nx = -(-size.n // query_block), max(1, -(-x.select("_x").count() // item_block))
+        q = q.withColumn("_bq", F.abs(F.hash("_q")) % nq).withColumn("_bx", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+        x = x.withColumn("_bx", F.abs(F.hash("_x")) % nx).withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"_q": a["_q"][:0], "_x": b["_x"][:0], "dist": np.zeros(0), "_k": a["_k"][:0]})
+            ks = a["_k"].to_numpy()
+            r = _nearest(matrix(a["_v"]), ks, [(b["_x"].to_numpy(), matrix(b["_w"]))])
+            at = r["q"].to_numpy()
+            return pd.DataFrame({"_q": _plain(a["_q"].to_numpy()[at]), "_x": _plain(r["x"].to_numpy()), "dist": r["dist"].to_numpy(), "_k": ks[at]})
+
+        near = q.groupBy("_bq", "_bx").cogroup(x.groupBy("_bq", "_bx")).applyInPandas(pair, out)
     w = Window.partitionBy("_q").orderBy("dist", "_x")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= _k").select(F.col("_q").alias(query_id), F.col("_x").alias(item_id), "dist", "rank")
 
@@ -81,3 +138,18 @@ def exclude_seen(new: DataFrame, seen: DataFrame, question: str, order: list[str
         w = Window.partitionBy(question, "section").orderBy(*order)
         out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return out
+
+
+def search_index(questions: DataFrame, index: DataFrame, k: int, embed) -> DataFrame:
+    """(question_id, question, rank, chunk_id, section, content, score): a smart search of a stored index.
+
+    Questions are expanded, every query is embedded by the model that embedded
+    the index, the hits are cleared of repeats and ranked again.  ``index`` is
+    what ``index.read_index`` returns: chunk_id, section, content, embedding.
+    """
+    q = expand_questions(questions, k).withColumn("query_id", F.xxhash64("question_id", "query_ord"))
+    q = q.withColumn("query_vector", embed(F.col("query")))
+    hits = knn(q, index, query_id="query_id", item_id="chunk_id", query_vector="query_vector", item_vector="embedding", k="k")
+    hits = hits.join(q.select("query_id", "question_id", "question", "query_ord"), "query_id").join(index.select("chunk_id", "section", "content"), "chunk_id")
+    seen = first_wins(hits.withColumnRenamed("rank", "hit_rank"), "question_id", ["query_ord", "hit_rank"], "content")
+    return rerank(seen, "question_id", "question", k).select("question_id", "question", "rank", "chunk_id", "section", "content", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import sources
 from ..functions import scores, text
 from ..functions import lexicon as L
 from ..operators import answer, chunks, context, index, models, search, sections, selfquery
-from ..session import cut
+from ..session import checkpoint_folder, cut
 
 INLINE_MIN, LINES_MIN = 100, 50
 
@@ -80,12 +82,18 @@ def parent_child(s, d):
 
 
 def parent_lookup(s, d):
-    """Children, here plain windows of 500 characters, brought back to their parents by an equi-join."""
+    """The chunks of all parents brought back to them by an equi-join: whether each parent holds every one of its chunks."""
     p = _t(s, d, "parent_docs")
-    n = F.ceil(F.length("page_content") / 500)
-    kids = p.where("length(page_content) > 0").select(F.col("parent_key").alias("parent_id"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("child_no"))
-    j = kids.join(p, kids.parent_id == p.parent_key)
-    return j.select("parent_key", "child_no", "section", F.length("page_content").alias("parent_chars"), F.md5(F.expr("substring(page_content, cast((child_no - 1) * 500 + 1 as int), 500)")).alias("child_md5"))
+    kids = chunks.expand_children(p, "parent_key", "page_content").select(F.col("parent_key").alias("parent_id"), "chunk")
+    j = kids.join(p, kids.parent_id == p.parent_key).select("parent_key", "section", F.length("page_content").alias("parent_chars"), F.col("page_content").contains(F.col("chunk")).alias("_in"))
+    return j.groupBy("parent_key").agg(F.first("section").alias("section"), F.first("parent_chars").alias("parent_chars"), F.bool_and("_in").alias("holds_chunks"))
+
+
+def fallback_sources(s, d):
+    """Every source, also one without any section, with its valid sections and whether it is chunked whole instead."""
+    e = _t(s, d, "ocr_elements").where("source is not null and text is not null").select("source").distinct()
+    n = F.coalesce("n_valid", F.lit(0)).cast("long")
+    return e.join(section_counts(s, d), "source", "left").select("source", n.alias("n_valid"), (n < 10).alias("falls_back"))
 
 
 def section_refs(s, d):
@@ -175,8 +183,28 @@ def index_rows(s, d):
     return _t(s, d, "documents").select("doc_id", "section", F.col("text").alias("content"), "source").join(e, "doc_id")
 
 
+def _folder(s) -> str:
+    return f"{checkpoint_folder(s)}/index-{uuid.uuid4().hex}"
+
+
 def index_scan(s, d):
-    return index_rows(s, d).where("source = 'larkmoor-code'").select("doc_id", "section", "content")
+    """One collection of a stored index, by a scan of its partition alone."""
+    at = _folder(s)
+    index_rows(s, d).where("source is not null").withColumn("collection", F.col("source")).write.partitionBy("collection").parquet(at)
+    return index.read_index(s, at, "larkmoor-code").select("doc_id", "section", "content")
+
+
+def load_batches(s, d):
+    """Parents and embedded children written to a store, with the outcome of every batch of 50."""
+    return index.load_index(_t(s, d, "parent_docs"), _folder(s), "parents", models.embed, key="parent_key", text="page_content").drop("n_chunks")
+
+
+def search_texts(s, d):
+    """All questions searched by the embeddings of their texts in a stored index of all documents' chunks."""
+    at = _folder(s)
+    index.load_index(_t(s, d, "documents"), at, "documents", models.embed, key="doc_id", text="text")
+    q = _t(s, d, "questions").where("question is not null").select("question_id", "question")
+    return search.search_index(q, index.read_index(s, f"{at}/index", "documents"), 12, models.embed).drop("question", "content")
 
 
 def index_stats(s, d):
@@ -194,7 +222,7 @@ def index_describe(s, d):
 
 
 def populated(s, d):
-    return index.populated(index_describe(s, d).withColumn("error", F.when(F.length("source") > 17, F.lit("path too long")))).select("source", "n_docs")
+    return index.populated(index_describe(s, d).withColumn("error", F.lit(None).cast("string"))).select("source", "n_docs")
 
 
 def batches(s, d):
@@ -233,9 +261,9 @@ def _search(s, d, queries: DataFrame, ords: list[str], k) -> DataFrame:
     q = queries.withColumn("query_id", F.struct("question_id", *ords).cast("string"))
     if isinstance(k, int):
         q = q.withColumn("k", F.lit(k))
-    idx = index_rows(s, d)
-    hits = search.knn(q, idx, query_id="query_id", item_id="doc_id", query_vector="query_vector", item_vector="embedding", k="k")
-    return hits.join(q.drop("query_vector", "k"), "query_id").join(idx.select("doc_id", "section", "content"), "doc_id")
+    hits = search.knn(q, index_rows(s, d), query_id="query_id", item_id="doc_id", query_vector="query_vector", item_vector="embedding", k="k")
+    texts = _t(s, d, "documents").select("doc_id", "section", F.col("text").alias("content"))
+    return hits.join(q.drop("query_vector", "k"), "query_id").join(texts, "doc_id")
 
 
 def _pass_one(s, d, k):
@@ -299,7 +327,7 @@ def answer_prompt(s, d):
 
 
 def answers(s, d):
-    return answer_prompt(s, d).select("question_id", models.generate(F.col("prompt")).alias("answer"))
+    return answer_prompt(s, d).select("question_id", models.generate(F.col("prompt")).alias("r")).select("question_id", "r.answer", "r.error")
 
 
 def embed(s, d):
@@ -308,8 +336,7 @@ def embed(s, d):
 
 
 def _first_docs(s, d):
-    a = _answered(s, d).select("question_id", (F.col("ord") + 1).alias("rank"), "section", "content")
-    return a.where("rank <= 4")
+    return _answered(s, d).select("question_id", (F.col("ord") + 1).alias("rank"), "section", "content")
 
 
 def fallback_merge(s, d):
@@ -333,15 +360,17 @@ def _ask(s, d, generate):
         hits = search.first_wins(_search(s, d, t, ["term_ord"], 2), "question_id", ["term_ord", "rank"], "content")
         return hits.select("question_id", F.col("first_seen").alias("rank"), "section", "content")
 
-    return answer.ask(q, docs, second, generate, cut)
+    fb = selfquery.self_query(q, _t(s, d, "documents"), "doc_id").join(_t(s, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return answer.ask(q, docs, second, generate, cut, fb)
 
 
 def ask_sql(s, d):
-    return _ask(s, d, models.extractive)
+    parts = F.transform("documents", lambda x: F.concat(F.coalesce(x["section"], F.lit("-")), F.lit(":"), x["content"]))
+    return _ask(s, d, lambda i, _prompt, ctx: models.extractive(i, ctx)).withColumn("documents_md5", F.md5(F.array_join(parts, "|"))).drop("documents")
 
 
 def ask(s, d):
-    return _ask(s, d, lambda _id, ctx: models.generate(ctx))
+    return _ask(s, d, lambda _id, prompt, _ctx: models.generate(prompt))
 
 
 # -- display -----------------------------------------------------------------
@@ -359,6 +388,10 @@ def strip_ansi(s, d):
     return x.select("question_id", text.strip_ansi(F.concat(F.lit("\x1b[1;34m"), F.col("question"), F.lit("\x1b[0m"))).alias("plain"))
 
 
+def clock(s, d):
+    return _t(s, d, "questions").select("question_id", text.clock(F.col("asked_at")).alias("asked"))
+
+
 def wrapped(s, d):
     return _t(s, d, "questions").where("question is not null").select("question_id", _join(text.wrap(F.col("question"), 40), "\n").alias("wrapped"))
 
@@ -367,9 +400,9 @@ NAMES = {
     f.__name__: f
     for f in (
         page_ranges, page_elements, sections_inline, sections_inline_valid, sections_lines, sections_lines_valid, section_counts, fallback_label,
-        fallback_chunks, parent_child, parent_lookup, section_refs, section_refs_all, search_terms, topic_flags, needs_more, needs_more_strict,
+        fallback_chunks, fallback_sources, parent_child, parent_lookup, section_refs, section_refs_all, search_terms, topic_flags, needs_more, needs_more_strict,
         section_bonus, quality_bonus, word_match, relevance, expand_queries, topic_searches, quick_terms, extra_terms, dedup_terms, index_scan, index_stats,
         documents_projection, index_describe, populated, batches, batch_report, knn, knn_single, batch_search, smart_search, search_legacy, self_query,
-        debug_search, index_verify, format_context, answer_prompt, answers, embed, fallback_merge, second_pass_merge, ask_sql, ask, preview, highlight, strip_ansi,
+        debug_search, index_verify, format_context, answer_prompt, answers, embed, fallback_merge, second_pass_merge, ask_sql, ask, load_batches, search_texts, clock, preview, highlight, strip_ansi,
     )
 } | {"chunks": chunk_rows, "wrap": wrapped}

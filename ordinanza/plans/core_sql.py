@@ -117,7 +117,7 @@ ANSWER_Q = "aq AS (SELECT a.question_id, a.answer AS question FROM answers a JOI
 def _merge(once: bool, few: str, cap: str) -> str:
     n = "row_number() OVER (PARTITION BY f.question_id, f.section ORDER BY f.rank)" if once else "1"
     return f"""{ANSWERED}, {ANSWER_Q}, {_self_query('aq')},
-fd AS (SELECT question_id, ord + 1 AS rank, section, content FROM an WHERE ord < 4),
+fd AS (SELECT question_id, ord + 1 AS rank, section, content FROM an),
 nd AS (SELECT question_id, count(*) AS c FROM fd GROUP BY ALL),
 nw AS (SELECT * FROM (SELECT f.question_id, f.rank, f.section, d.text AS content, {n} AS n FROM sq f JOIN documents d ON f.doc_id = d.doc_id LEFT JOIN nd ON nd.question_id = f.question_id
   WHERE {few} NOT EXISTS (SELECT 1 FROM fd WHERE fd.question_id = f.question_id AND fd.section IS NOT DISTINCT FROM f.section)) WHERE n = 1),
@@ -127,7 +127,7 @@ SELECT question_id, rank, section, md5(content) AS content_md5 FROM al {cap}"""
 
 
 def _refs_all(c: str) -> str:
-    pats = [r"(?i)section\s+(\d+\.\d+\.\d+(?:\.\d+)*)", r"(?i)\b(\d+\.\d+\.\d+(?:\.\d+)*)\b", r"(?i)chapter\s+(\d+\.\d+(?:\.\d+)*)"]
+    pats = [r"(?i)section\s+(\d+\.\d+\.\d+(?:\.\d+)*)", r"(?i)\b(\d+\.\d+\.\d+(?:\.\d+)*)\b", r"(?i)chapter\s+(\d+\.\d+)"]
     return "list_sort(list_distinct(" + " || ".join(f"regexp_extract_all(coalesce({c}, ''), '{p}', 1)" for p in pats) + "))"
 
 
@@ -148,7 +148,7 @@ def _topic_searches(q: str, a: str) -> str:
 
 
 def _quick_terms(a: str, q: str) -> str:
-    low = f"lower(concat_ws(' ', {a}, {q}))"
+    low = f"lower(coalesce({q}, ''))"
     return f"((regexp_extract_all({a}, '{_REF}', 1))[1:2] || {_case(low, L.QUICK_TOPICS, lambda v: _list([v]))})[1:3]"
 
 
@@ -164,26 +164,32 @@ DESCRIBE = """ds AS (SELECT t.source, count(d.source) AS n_docs, CASE WHEN count
   LEFT JOIN (SELECT source, coalesce(section, 'none') AS section, text AS content FROM documents) d ON d.source = t.source GROUP BY ALL)"""
 
 _EXTRACT = "left({c}, 200) || CASE WHEN {id} % 3 = 0 THEN ' I would need to see additional information on the permit.' ELSE '' END"
-
-ASK = f"""WITH {_smart(12)},
-{_context('c1', 'sm')},
-a1 AS (SELECT question_id, {_EXTRACT.format(c='context', id='question_id')} AS answer FROM c1),
-mo AS (SELECT a1.*, x.question FROM a1 JOIN ex0 x ON a1.question_id = x.question_id WHERE {_any('lower(answer)', L.NEEDS_MORE)}),
+_FAILS = "question_id % 11 = 0"
+
+ASK = f"""WITH {_smart(12)}, {_self_query('ex0')},
+fc AS (SELECT s.question_id, s.rank, s.section, d.text AS content FROM sq s JOIN documents d ON d.doc_id = s.doc_id
+  WHERE (SELECT count(*) FROM sm WHERE sm.question_id = s.question_id) < 5 AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.question_id = s.question_id AND sm.section IS NOT DISTINCT FROM s.section)),
+dc AS (SELECT * FROM (SELECT question_id, section, content, row_number() OVER (PARTITION BY question_id ORDER BY part, rank, section, content) AS rank FROM
+  (SELECT question_id, rank, section, content, 0 AS part FROM sm UNION ALL BY NAME SELECT question_id, rank, section, content, 1 AS part FROM fc)) WHERE rank <= 12),
+{_context('c1', 'dc')},
+a1 AS (SELECT question_id, CASE WHEN NOT {_FAILS} THEN {_EXTRACT.format(c='context', id='question_id')} END AS answer, {_FAILS} AS failed FROM c1),
+mo AS (SELECT a1.*, x.question FROM a1 JOIN ex0 x ON a1.question_id = x.question_id WHERE {_any("lower(coalesce(answer, ''))", L.NEEDS_MORE)}),
 te0 AS (SELECT question_id, {_quick_terms('answer', 'question')} AS ts FROM mo),
 te AS (SELECT question_id, (i - 1)::INT AS term_ord, 2 AS k FROM te0, unnest(range(1, len(ts) + 1)) AS u(i)),
 {_hits('h2', 'te', 'term_ord', 'q.question_id * 7 + q.term_ord + 3')},
 {_first('f2', 'h2', 'term_ord')},
 nw AS (SELECT * FROM (SELECT question_id, first_seen AS rank, section, content, row_number() OVER (PARTITION BY question_id, section ORDER BY first_seen) AS n FROM f2
-  WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.question_id = f2.question_id AND sm.section IS NOT DISTINCT FROM f2.section)) WHERE n = 1),
+  WHERE NOT EXISTS (SELECT 1 FROM dc WHERE dc.question_id = f2.question_id AND dc.section IS NOT DISTINCT FROM f2.section)) WHERE n = 1),
 al AS (SELECT question_id, section, content, row_number() OVER (PARTITION BY question_id ORDER BY part, rank) AS rank FROM
-  (SELECT question_id, rank, section, content, 0 AS part FROM sm WHERE question_id IN (SELECT question_id FROM nw) UNION ALL BY NAME SELECT question_id, rank, section, content, 1 AS part FROM nw)),
-{_context('c2', 'al')},
+  (SELECT question_id, rank, section, content, 0 AS part FROM dc UNION ALL BY NAME SELECT question_id, rank, section, content, 1 AS part FROM nw)),
+ml AS (SELECT * FROM al WHERE question_id IN (SELECT question_id FROM nw)),
+{_context('c2', 'ml')},
 a2 AS (SELECT question_id, {_EXTRACT.format(c='context', id='question_id')} AS answer_2 FROM c2),
-n1 AS (SELECT question_id, count(*) AS n FROM sm GROUP BY ALL), n2 AS (SELECT question_id, count(*) AS n FROM nw GROUP BY ALL)
-SELECT x.question_id, n1.n IS NOT NULL AS success, (coalesce(n1.n, 0) + coalesce(n2.n, 0))::INT AS n_documents, coalesce(answer_2, answer) AS answer,
-  CASE WHEN n1.n IS NULL THEN 'No relevant documents found' END AS error, CASE WHEN n1.n IS NULL THEN 0 WHEN answer_2 IS NOT NULL THEN 2 ELSE 1 END::INT AS iterations,
-  CASE WHEN n1.n IS NOT NULL AND answer_2 IS NULL AND {_any("lower(coalesce(answer, ''))", L.NEEDS_MORE)} THEN 'More sections were wanted but none were found' END AS note
-FROM ex0 x LEFT JOIN a1 ON x.question_id = a1.question_id LEFT JOIN a2 ON x.question_id = a2.question_id LEFT JOIN n1 ON x.question_id = n1.question_id LEFT JOIN n2 ON x.question_id = n2.question_id"""
+n1 AS (SELECT question_id, count(*) AS n, md5(string_agg(coalesce(section, '-') || ':' || content, '|' ORDER BY rank)) AS m FROM al GROUP BY ALL)
+SELECT x.question_id, n1.n IS NOT NULL AND NOT failed AS success, coalesce(n1.n, 0)::INT AS n_documents, coalesce(n1.m, md5('')) AS documents_md5, coalesce(answer_2, answer) AS answer,
+  CASE WHEN n1.n IS NULL THEN 'No relevant documents found' WHEN failed THEN 'Error generating response: model unavailable' END AS error, CASE WHEN n1.n IS NULL THEN 0 WHEN answer_2 IS NOT NULL THEN 2 ELSE 1 END::INT AS iterations,
+  CASE WHEN n1.n IS NOT NULL AND NOT failed AND answer_2 IS NULL AND {_any("lower(coalesce(answer, ''))", L.NEEDS_MORE)} THEN 'Comprehensive search completed' END AS note
+FROM ex0 x LEFT JOIN a1 ON x.question_id = a1.question_id LEFT JOIN a2 ON x.question_id = a2.question_id LEFT JOIN n1 ON x.question_id = n1.question_id"""
 
 SQL = {
     "page_ranges": """WITH p AS (SELECT source, max(page) AS pages FROM ocr_elements WHERE source IS NOT NULL GROUP BY ALL),
@@ -197,11 +203,16 @@ SELECT * FROM r WHERE start_page <= end_page""",
     "section_counts": LINES + "SELECT source, count(*) AS n_sections, count(*) FILTER (length(content) > 50) AS n_valid FROM secs GROUP BY ALL",
     "fallback_label": r"""SELECT parent_key, coalesce(nullif(regexp_extract(page_content, '(\d+\.\d+\.\d+)', 1), ''), 'chunk_' || CASE WHEN parent_key < 10000 THEN lpad(parent_key::VARCHAR, 4, '0') ELSE parent_key::VARCHAR END) AS label
 FROM parent_docs WHERE page_content IS NOT NULL""",
-    "parent_lookup": """SELECT p.parent_key, i AS child_no, p.section, length(p.page_content)::INT AS parent_chars, md5(substring(p.page_content, (i - 1) * 500 + 1, 500)) AS child_md5
-FROM parent_docs p, unnest(range(1, ceil(length(p.page_content) / 500.0)::BIGINT + 1)) AS u(i) WHERE length(p.page_content) > 0""",
+    "parent_lookup": f"SELECT parent_key, section, length(page_content)::INT AS parent_chars, TRUE AS holds_chunks FROM parent_docs WHERE {_strip('page_content')} <> ''",
+    "fallback_sources": LINES + """, n AS (SELECT source, count(*) FILTER (length(content) > 50) AS n_valid FROM secs GROUP BY ALL),
+e AS (SELECT DISTINCT source FROM ocr_elements WHERE source IS NOT NULL AND text IS NOT NULL)
+SELECT e.source, coalesce(n_valid, 0) AS n_valid, coalesce(n_valid, 0) < 10 AS falls_back FROM e LEFT JOIN n ON e.source = n.source""",
+    "load_batches": """SELECT batch_no, count(*) AS n_docs, count(*) AS n_written, TRUE AS ok, 'Batch ' || (batch_no + 1) || ' (' || count(*) || ' docs) added' AS message FROM
+(SELECT ((row_number() OVER (ORDER BY parent_key) - 1) // 50)::BIGINT AS batch_no FROM parent_docs WHERE page_content IS NOT NULL) GROUP BY batch_no""",
+    "clock": "SELECT question_id, strftime(asked_at, '%H:%M:%S') AS asked FROM questions",
     "section_refs": f"SELECT question_id, array_to_string(regexp_extract_all(answer, '{_REF}', 1), '|') AS refs FROM answers WHERE answer IS NOT NULL",
     "section_refs_all": f"SELECT doc_id, array_to_string({_refs_all('text')}, '|') AS refs FROM documents",
-    "search_terms": f"""SELECT question_id, array_to_string(list_filter(list_transform(regexp_extract_all(reply, '(?i)search:[^\\S\\n]*([^\\n]+)', 1), lambda t: {_strip('t')}), lambda t: t <> ''), '|') AS terms
+    "search_terms": f"""SELECT question_id, array_to_string(list_filter(list_transform(regexp_extract_all(reply, '(?i)search:{_SP}*([^\\n]+)', 1), lambda t: {_strip('t')}), lambda t: t <> ''), '|') AS terms
 FROM (SELECT question_id, string_agg('Search: ' || query, chr(10) ORDER BY query_ord) AS reply FROM search_queries WHERE query IS NOT NULL GROUP BY ALL)""",
     "topic_flags": "SELECT question_id, " + ", ".join(f"{_any('lower(question)', t)} AS topic_{i}" for i, (t, _) in enumerate(L.QUESTION_TOPICS, 1)) + " FROM questions WHERE question IS NOT NULL",
     "needs_more": "SELECT question_id, " + _any("lower(coalesce(answer, ''))", L.NEEDS_MORE) + " AS needs_more FROM answers",
@@ -222,7 +233,7 @@ SELECT question_id, array_to_string((list(t ORDER BY i))[1:5], '|') AS terms FRO
     "index_stats": f"WITH {INDEX} SELECT source, count(*) AS n_docs FROM idx GROUP BY ALL",
     "documents_projection": "SELECT ordinal, section, content, 'code_of_ordinances.pdf' AS doc_source FROM sections WHERE content IS NOT NULL",
     "index_describe": f"WITH {DESCRIBE} SELECT * FROM ds",
-    "populated": f"WITH {DESCRIBE} SELECT source, n_docs FROM ds WHERE n_docs > 0 AND length(source) <= 17",
+    "populated": f"WITH {DESCRIBE} SELECT source, n_docs FROM ds WHERE n_docs > 0",
     "batches": "SELECT ordinal, ((row_number() OVER (ORDER BY ordinal) - 1) // 50)::BIGINT AS batch_no FROM sections",
     "batch_report": """SELECT batch_no, count(*) AS n_docs, bool_and(ok) AS ok, count(*) FILTER (NOT ok) AS n_failed FROM
 (SELECT ((row_number() OVER (ORDER BY ordinal) - 1) // 50)::BIGINT AS batch_no, content IS NOT NULL AS ok FROM sections) GROUP BY ALL""",

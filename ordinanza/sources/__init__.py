@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,11 +48,69 @@ def text_extractor(content: bytes) -> list[tuple[int, str]]:
     return [(n, line) for n, page in enumerate(content.decode("utf-8").split("\f"), 1) for line in page.split("\n") if line.strip()]
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any Hadoop file system exists."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def preflight(spark: SparkSession, needed: dict[str, str], settings: list[str] = ()) -> list[tuple[str, bool, str]]:
+    """(what, ok, message) for every needed path and environment setting, before a job starts."""
+    out = []
+    for what, path in needed.items():
+        ok = exists(spark, path)
+        out.append((what, ok, "found" if ok else f"{what} not found at {path}"))
+    for name in settings:
+        ok = bool(os.environ.get(name))
+        out.append((name, ok, "set" if ok else f"{name} not found in environment variables"))
+    return out
+
+
+_PAGE_OBJECT = re.compile(rb"/Type\s*/Page(?![\w])")
+_PAGE_COUNT = re.compile(rb"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)|/Count\s+(\d+)[^>]*?/Type\s*/Pages\b", re.S)
+
+
+def count_pages(content: bytes) -> int:
+    """Pages of a PDF file: the largest count of its page trees, else its page objects. Other files count form feeds."""
+    if not content.startswith(b"%PDF"):
+        return content.count(b"\f") + 1 if content else 0
+    counts = [int(a or b) for a, b in _PAGE_COUNT.findall(content)]
+    return max(counts) if counts else len(_PAGE_OBJECT.findall(content))
+
+
+def page_counts(files: DataFrame, counter: Callable[[bytes], int] = count_pages) -> DataFrame:
+    """(path, length, pages, error) of files; one that cannot be read has its error and no count."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, n, content in zip(b["path"], b["length"], b["content"]):
+                try:
+                    rows.append((path, n, counter(bytes(content)), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, n, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "length", "pages", "error"]).astype({"pages": "Int32"})
+
+    return files.select("path", "length", "content").mapInPandas(run, "path string, length long, pages int, error string")
+
+
+def load_pages(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, str]]], width: int = 200) -> DataFrame:
+    """(path, page, n_chars, text, preview, error): the elements of every page joined by line ends, with a preview."""
+    e = extract_elements(files, extractor)
+    parts = F.array_sort(F.collect_list(F.struct("elem_no", "text")))
+    p = e.groupBy("path", "page").agg(F.array_join(F.transform(parts, lambda s: s["text"]), "\n").alias("_t"), F.max("error").alias("error"))
+    text = F.when(F.col("error").isNull(), F.col("_t"))
+    return p.select("path", "page", F.length(text).alias("n_chars"), text.alias("text"), F.left(text, F.lit(width)).alias("preview"), "error")
+
+
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Read-through Parquet cache of a costly result."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path + "/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -65,11 +124,11 @@ def write_whole_text(df: DataFrame, path: str) -> None:
 
 
 # The word and the name patterns by which an index folder is known.
-def discover_indexes(root: str, word: str = "chroma", patterns: tuple[str, ...] = ("chroma_db*", "*chroma*", "db*")) -> list[str]:
-    """Names of folders that look like an index: by word or by pattern, each once, sorted."""
-    named = [d for d in os.listdir(root) if word in d.lower()]
-    found = named + [os.path.relpath(p, root) for pat in patterns for p in glob.glob(os.path.join(root, pat))]
-    return sorted({d for d in found if os.path.isdir(os.path.join(root, d))})
+def discover_indexes(spark: SparkSession, root: str, word: str = "chroma", patterns: tuple[str, ...] = ("chroma_db*", "*chroma*", "db*")) -> list[str]:
+    """Names of folders below a path of any Hadoop file system that look like an index: by word or by pattern, each once, sorted."""
+    fs, p = _fs(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted({n for n in names if word in n.lower() or any(fnmatch.fnmatchcase(n, pat) for pat in patterns)})
 
 
 def elements_in_order(elements: DataFrame) -> DataFrame:

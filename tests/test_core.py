@@ -87,7 +87,7 @@ def test_references(spark):
     t = "See Section 10.16.090 and chapter 7.04, 8.1.2.3x and 9.9.9.9. v1.2.3 1.2.3.4.5"
     assert one(spark, scores.section_refs(F.col("a")), a=t) == ["10.16.090", "8.1.2", "9.9.9.9", "1.2.3.4.5"]
     assert "7.04" in one(spark, scores.section_refs_all(F.col("a")), a=t)
-    assert one(spark, scores.search_terms(F.col("a")), a="SEARCH: a b \nsearch:\nSearch: c") == ["a b", "c"]
+    assert one(spark, scores.search_terms(F.col("a")), a="SEARCH: a b \nsearch:\nSearch: c") == ["a b", "Search: c"]
 
 
 def test_strict_phrase_with_capital_never_matches(spark):
@@ -136,16 +136,104 @@ def test_context(spark):
 
 
 def test_ask_outcomes(spark):
-    qs = spark.createDataFrame([(1, "fence"), (2, "x"), (3, "wall"), (4, "y")], "question_id int, question string")
-    docs = spark.createDataFrame([(1, 1, "a", "t"), (3, 1, "a", "t"), (4, 1, "b", "t")], "question_id int, rank int, section string, content string")
-    more = lambda i, c: F.when(i < 4, F.concat(c, F.lit(" additional information"))).otherwise(c)
+    qs = spark.createDataFrame([(1, "fence"), (2, "x"), (3, "wall"), (4, "y"), (5, "see 1.1.1"), (6, "animal")], "question_id int, question string")
+    full = [(7, i, f"s{i}", "t") for i in range(1, 6)]
+    docs = spark.createDataFrame([(1, 1, "a", "t"), (3, 1, "a", "t"), (4, 1, "b", "t"), (6, 1, "b", "t"), *full], "question_id int, rank int, section string, content string")
+    qs = qs.unionByName(spark.createDataFrame([(7, "many")], "question_id int, question string"))
+    fb = spark.createDataFrame([(5, 1, "1.1.1", "u"), (4, 1, "b", "seen"), (4, 2, "1.1.1", "v"), (7, 1, "1.1.1", "w")], "question_id int, rank int, section string, content string")
 
-    def second(terms):
-        return terms.where("question_id = 1").select("question_id", F.lit(1).alias("rank"), F.lit("n").alias("section"), F.lit("new").alias("content")).distinct()
+    def reply(i, prompt, ctx):
+        text = F.when(i.isin(1, 3, 6), F.concat(ctx, F.lit(" additional information"))).otherwise(ctx)
+        fails = (i == 4) | (i == 6) & ctx.contains("new")
+        return F.struct(F.when(~fails, text).alias("answer"), F.when(fails, F.lit("down")).alias("error"))
 
-    got = {r.question_id: r for r in answer.ask(qs, docs, second, more, lambda d: d).collect()}
-    assert [got[i].iterations for i in (1, 2, 3, 4)] == [2, 0, 1, 1]
-    assert got[3].note and not got[1].note and not got[2].success and got[1].n_documents == 2
+    def second(terms):
+        return terms.where("question_id in (1, 6)").select("question_id", F.lit(1).alias("rank"), F.lit("n").alias("section"), F.lit("new").alias("content")).distinct()
+
+    got = {r.question_id: r for r in answer.ask(qs, docs, second, reply, lambda d: d, fb).collect()}
+    assert [got[i].iterations for i in range(1, 8)] == [2, 0, 1, 1, 1, 1, 1]
+    assert [got[i].success for i in range(1, 8)] == [True, False, True, False, True, False, True]
+    assert [got[i].n_documents for i in range(1, 8)] == [2, 0, 1, 2, 1, 1, 5]
+    assert [(d.section, d.content) for d in got[1].documents] == [("a", "t"), ("n", "new")] and got[2].documents == [] and got[5].documents[0].content == "u"
+    assert got[3].note == "Comprehensive search completed" and not any(got[i].note for i in (1, 2, 4, 5, 6, 7))
+    assert got[4].error == got[6].error == "Error generating response: down" and got[4].answer is None and got[2].error == "No relevant documents found"
+
+
+def test_reading_of_answers(spark):
+    q = lambda a, b: one(spark, scores.quick_terms(F.col("a"), F.col("b")), a=a, b=b)
+    assert q("a fence, see 1.1.1, 2.2.2 and 3.3.3", "may I?") == ["1.1.1", "2.2.2"]
+    assert q("none", "Is a WALL fine?") == ["fence height zoning"] and q("none", None) == []
+    assert one(spark, scores.section_refs_all(F.col("a")), a="Chapter 7.04.010") == ["7.04", "7.04.010"]
+    assert one(spark, scores.search_terms(F.col("a")), a="SEARCH:\nnoise rules\nsearch: \n\n b \nSEARCH:") == ["noise rules", "b"]
+
+
+def test_merge_leaves_questions_with_enough_documents(spark):
+    docs = _docs(spark, [(1, i, f"s{i}", "x") for i in range(1, 6)] + [(2, 1, "a", "x")])
+    new = _docs(spark, [(1, 1, "n", "p"), (2, 1, "n", "q"), (3, 1, "n", "r")])
+    got = [(r.qid, r.content) for r in answer.fallback_merge(docs, new, "qid").orderBy("qid", "rank").collect()]
+    assert got == [(1, "x")] * 5 + [(2, "x"), (2, "q"), (3, "r")]
+
+
+def test_models_that_fail(spark):
+    def bad(t):
+        if "x" in t:
+            raise ValueError("no")
+        return np.ones(2)
+
+    df = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "i int, t string")
+    got = {r.i: r for r in df.select("i", models.embed(F.col("t"), bad).alias("v"), models.generate(F.col("t"), lambda t: str(bad(t))).alias("g")).collect()}
+    assert got[1].v == [1, 1] and got[2].v is None and got[3].v is None
+    assert got[2].g.error == "no" and got[2].g.answer is None and got[1].g.error is None and got[3].g.answer is None
+
+
+def test_stored_index_end_to_end(spark, tmp_path):
+    texts = [(i, f"1.1.{i}", f"{w} rules. " * 40) for i, w in enumerate(["fence", "animal", "noise", "business"] * 15)] + [(99, None, None)]
+    df = spark.createDataFrame(texts, "k int, section string, t string")
+    at = str(tmp_path / "store")
+    rep = {r.batch_no: r for r in index.load_index(df, at, "one", models.embed, key="k", text="t").collect()}
+    assert {b: (r.n_docs, r.n_written, r.ok) for b, r in rep.items()} == {0: (50, 50, True), 1: (10, 10, True)} and rep[1].message == "Batch 2 (10 docs) added"
+    fails = index.load_index(df, str(tmp_path / "bad"), "one", lambda c: models.embed(c, lambda t: 1 / 0), key="k", text="t").collect()
+    assert not any(r.ok for r in fails) and "without vector" in fails[0].message
+    idx = index.read_index(spark, at + "/index", "one")
+    q = spark.createDataFrame([(1, "noise rules"), (2, None)], "question_id int, question string")
+    hits = search.search_index(q, idx, 4, models.embed).collect()
+    assert hits and all("noise" in r.content for r in hits) and {r.question_id for r in hits} == {1}
+    best = search.search_index(q, idx, 4, models.embed).join(idx.select("chunk_id", "parent_id"), "chunk_id")
+    up = index.parents_of(best, index.read_index(spark, at + "/parents", "one")).collect()
+    assert up and all(r.content == texts[r.parent_id][2] for r in up)
+    d = index.describe_path(spark, at + "/index", "one", models.embed, "business")
+    assert d["status"] == "POPULATED" and d["sample_content"].startswith("business") and len(d["sample_content"]) == 100
+    assert index.describe_path(spark, at + "/none", "one", models.embed)["error"] == "Directory does not exist"
+    assert index.describe_path(spark, at + "/index", "two", models.embed)["status"] == "EMPTY"
+    (tmp_path / "junk").mkdir()
+    assert index.describe_path(spark, str(tmp_path / "junk"), "one", models.embed)["error"]
+
+
+def test_pages_and_preflight(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n1 0 obj<</Type /Pages /Kids [2 0 R 3 0 R] /Count 2>>\n2 0 obj<</Type /Page>>\n3 0 obj<</Type /Page>>")
+    (tmp_path / "b.pdf").write_bytes(b"x" * 300 + b"\n\fsecond")
+    files = sources.read_files(spark, str(tmp_path))
+    assert sorted(r.pages for r in sources.page_counts(files).collect()) == [2, 2]
+    got = {(r.path[-5:], r.page): r for r in sources.load_pages(files.where("path like '%b.pdf'"), sources.text_extractor).collect()}
+    assert got["b.pdf", 1].preview == "x" * 200 and got["b.pdf", 1].n_chars == 300 and got["b.pdf", 2].text == "second"
+    checks = sources.preflight(spark, {"text": str(tmp_path / "a.pdf"), "index": str(tmp_path / "no")}, ["NO_SUCH_SETTING"])
+    assert [ok for _, ok, _ in checks] == [True, False, False] and "not found at" in checks[1][2]
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_knn_paths_agree(spark, bound):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 8))
+    v[9] = v[4]
+    df = spark.createDataFrame([(f"i{i:03d}", x.tolist()) for i, x in enumerate(v)], "i string, v array<float>").repartition(5)
+    q = spark.createDataFrame([(i, v[i].tolist(), 1 + i % 4) for i in range(30)] + [(77, None, 3)], "q int, w array<float>, k int")
+    got = search.knn(q, df, query_id="q", item_id="i", query_vector="w", item_vector="v", k="k", max_broadcast=bound, query_block=7, item_block=90)
+    have = {(r.q, r["rank"]): r.i for r in got.collect()}
+    v = v.astype(np.float32).astype(float)
+    for i in range(30):
+        d = np.round(((v - v[i]) ** 2).sum(1), 6)
+        assert [have[i, k + 1] for k in range(1 + i % 4)] == [f"i{j:03d}" for j in np.lexsort((np.arange(400), d))[: 1 + i % 4]]
+    assert len(have) == sum(1 + i % 4 for i in range(30))
 
 
 def test_chunks_invariants():
@@ -205,13 +293,14 @@ def test_sources(spark, tmp_path):
     assert calls == [1]
     for n in ("chroma_db", "my_chroma", "db2", "other"):
         (tmp_path / "w" / n).mkdir(parents=True)
-    assert sources.discover_indexes(str(tmp_path / "w")) == ["chroma_db", "db2", "my_chroma"]
+    assert sources.discover_indexes(spark, str(tmp_path / "w")) == ["chroma_db", "db2", "my_chroma"]
 
 
 def test_display(spark):
     assert one(spark, text.highlight(F.col("a")), a="see section 1.2.3 and 4.5.6") == "see [section 1.2.3] and 4.5.6"
     assert one(spark, text.strip_ansi(F.col("a")), a="\x1b[1;34mx\x1b[0m") == "x"
     assert one(spark, text.wrap(F.col("a"), 7), a="aa bbb cc dddddddddd") == ["aa bbb", "cc", "dddddddddd"]
+    assert one(spark, text.wrap(F.col("a"), 6), a="aa bbb cc ddd") == ["aa", "bbb cc", "ddd"]
     assert one(spark, text.preview(F.col("a"), 3), a="abcd") == "abc..."
 
 
