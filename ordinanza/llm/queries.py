@@ -118,10 +118,8 @@ def p6_repaired(s, d):
 
 # -- 7 leaked evaluation texts -----------------------------------------------------
 
-def p7_leaks(s, d):
-    docs = _t(s, d, "documents")
-    items = leaks.fit_space(docs, "text", leaks.read_items(_t(s, d, "eval_items"), "item_id", "item_text"))
-    return leaks.find_leaks(docs, "doc_id", "text", items)
+def p7_leaks(s, d, paraphrase=None):
+    return leaks.leaks(_t(s, d, "documents"), "doc_id", "text", _t(s, d, "eval_items"), "item_id", "item_text", paraphrase=paraphrase)
 
 
 def p7_found(s, d):
@@ -129,9 +127,7 @@ def p7_found(s, d):
 
 
 def p7_paraphrases(s, d):
-    docs = _t(s, d, "documents")
-    items = leaks.fit_space(docs, "text", leaks.read_items(_t(s, d, "eval_items"), "item_id", "item_text"))
-    return leaks.find_leaks(docs, "doc_id", "text", items, paraphrase=0.6)
+    return p7_leaks(s, d, 0.6)
 
 
 # -- 8 mixing ------------------------------------------------------------------

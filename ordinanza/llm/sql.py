@@ -12,6 +12,11 @@ def _fits(text: str, cut: str) -> str:
 
 
 SQL = {
+    "p7_found": r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\pL\pN]+') AS ws FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(ws[j:j + 11], ' ') AS r FROM i, unnest(range(1, len(ws) - 10)) AS u(j)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS ws FROM documents),
+h AS (SELECT doc_id, array_to_string(ws[j:j + 11], ' ') AS r FROM d, unnest(range(1, len(ws) - 10)) AS u(j))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (r)""",
     "p1_found": "SELECT parent_key, CASE WHEN "
     + _fits("page_content", r"\n(?:[\t\r\f\v \x{a0}\x{2000}-\x{200a}]*\n)+")
     + " THEN 'paragraph' WHEN "

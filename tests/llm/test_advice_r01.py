@@ -44,19 +44,39 @@ def test_paraphrase_is_found_at_any_place(spark):
     stretch = lambda at: [w if i % 5 else "other" for i, w in enumerate(item[at : at + 24])]
     docs = [(12 * a + b, " ".join([f"d{i}" for i in range(b)] + stretch(6 * a) + ["end"] * 20)) for a in range(9) for b in range(12)]
     df = spark.createDataFrame([*docs, (900, " ".join(item[:60:5]))], "d int, t string")
-    it = leaks.read_items(spark.createDataFrame([(1, " ".join(item)), (2, "t1 t2 t3")], "i long, t string"), "i", "t")
-    got = leaks.find_leaks(df, "d", "t", leaks.fit_space(df, "t", it), paraphrase=0.6).collect()
+    it = spark.createDataFrame([(1, " ".join(item)), (2, "t1 t2 t3")], "i long, t string")
+    got = leaks.leaks(df, "d", "t", it, "i", "t", paraphrase=0.6).collect()
     assert {(r.d, r.item_id) for r in got} == {(d, 1) for d, _ in docs} and all(0.7 < r.lcs_share < 0.9 for r in got)
 
 
-def test_passage_cover_against_brute_force():
+def test_cover_against_brute_force():
     import random
 
+    import numpy as np
+
     rng = random.Random(6)
-    for _ in range(200):
-        doc, item, size = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))], [rng.choice("abcdefgh") for _ in range(rng.randint(8, 30))], rng.randint(1, 8)
-        want = max(leaks.common_subsequence(doc, item[at : at + size]) for at in range(len(item) - size + 1)) / size
-        assert leaks.passage_cover(doc, item, size, 0.0) == want and leaks.passage_cover(doc, item, size, 0.6) == (want if want >= 0.6 else 0)
+    item = [rng.randrange(40) for _ in range(70)]
+    items = leaks.Items([1], [" ".join(f"t{w}" for w in item)])
+    weight = np.random.default_rng(1).uniform(0.1, 3, len(items.vocab))
+    st, codes = leaks.Stretches(items, weight), items.codes[0].tolist()
+    n_found = 0
+    for _ in range(60):
+        at = rng.randint(0, 46)
+        doc = [w if rng.random() > 0.25 else rng.choice([-1, rng.randrange(len(weight))]) for w in codes[at : at + 24]] + [rng.randrange(len(weight)) for _ in range(20)]
+        got = dict(st.cover(np.array(doc), np.arange(len(items.passages)), 0.6))
+        for c, place in enumerate(items.place):
+            target, want = codes[max(0, place - 12) : place + 36], 0.0
+            for x in range(len(target) - 23):
+                s = target[x : x + 24]
+                u = sorted(set(s), key=lambda k: (-weight[k], k))
+                key = u[: -(-len(u) // 3)]
+                share = leaks.common_subsequence([d for d in doc if d >= 0], s) / 24
+                assert abs(leaks.common_share([d for d in doc if d >= 0], s) - share) < 1e-9
+                if share >= 0.6 and leaks.weighted_cover(doc, s, weight) >= 0.6 and sum(k in doc for k in key) >= 0.6 * len(key):
+                    want = max(want, share)
+            assert abs(got.get(c, 0.0) - want) < 1e-9
+            n_found += want > 0
+    assert n_found > 20
 
 
 def test_signs_between_numbers_separate_like_a_space(spark):

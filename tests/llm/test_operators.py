@@ -182,20 +182,24 @@ def test_leaks_against_brute_force(spark):
     docs += ["", items[0], items[0]]
     df = spark.createDataFrame([*enumerate(docs), (900, None)], "doc_id int, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame([*enumerate(items), (77, None)], "item_id long, item_text string")
-    model = leaks.fit_space(df, "text", leaks.read_items(it, "item_id", "item_text"), rank=32)
-    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, "doc_id", "text", model).collect()}
+    rows = leaks.leaks(df, "doc_id", "text", it, "item_id", "item_text", rank=32).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
     runs = {tuple(t.split()[i : i + 12]): n for n, t in enumerate(items) for i in range(len(t.split()) - 11)}
     want = {(n, runs[r]) for n, d in enumerate(docs) for ws in [leaks.words(d)] for i in range(len(ws) - 11) if (r := tuple(ws[i : i + 12])) in runs}
     assert got == want and want
-    assert leaks.find_leaks(df, "doc_id", "text", leaks.fit_space(df, "text", leaks.read_items(it.where("item_id < 0"), "item_id", "item_text"))).count() == 0
+    texts = {n: leaks.words(t) for n, t in enumerate(docs)}
+    for r in rows:
+        d, i = texts[r.doc_id], items[r.item_id].split()
+        assert r.run_words == max(n for n in range(12, 61) if any(d[a : a + n] == i[b : b + n] for a in range(len(d) - n + 1) for b in range(len(i) - n + 1)))
+    assert leaks.leaks(df, "doc_id", "text", it.where("item_id < 0"), "item_id", "item_text").count() == 0
 
 
 def test_paraphrase_needs_a_long_subsequence(spark):
     item = " ".join(f"t{i}" for i in range(24))
     near = " ".join(f"t{i}" if i % 5 else "other" for i in range(24))
     df = spark.createDataFrame([(1, near), (2, " ".join(f"t{i}" for i in (3, 1, 2)))], "d int, t string")
-    it = leaks.read_items(spark.createDataFrame([(1, item)], "i long, t string"), "i", "t")
-    got = leaks.find_leaks(df, "d", "t", leaks.fit_space(df, "t", it), paraphrase=0.6).collect()
+    it = spark.createDataFrame([(1, item)], "i long, t string")
+    got = leaks.leaks(df, "d", "t", it, "i", "t", paraphrase=0.6).collect()
     assert [(r.d, r.run_words) for r in got] == [(1, 0)] and got[0].lcs_share > 0.7
 
 
