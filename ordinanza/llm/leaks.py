@@ -24,7 +24,6 @@ MAX_ITEM_CHARS = 4_000_000
 #: Share of the rarest third of a passage's words, the ones that answer it, that a paraphrase must hold.
 ANSWER_SHARE = 0.6
 _WORD = re.compile(r"[^\W_]+")
-_STEP = 4096
 _MIX = np.random.default_rng(12).integers(1, 2**63, RUN, dtype=np.uint64) | np.uint64(1)
 
 
@@ -111,14 +110,17 @@ def encode(docs: DataFrame, doc_id: str, text: str, items: Items) -> DataFrame:
     return cut(src.mapInPandas(run, f"_d {dict(src.dtypes)['_d']}, codes array<int>"))
 
 
-def _sparse(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of unit TF-IDF rows, sorted by row; codes below 0 are no terms."""
-    v = len(idf)
-    ok = flat >= 0
-    key, tf = np.unique(row[ok].astype(np.int64) * v + flat[ok], return_counts=True)
-    r, c = key // v, key % v
+def _sparse(table: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of unit TF-IDF rows, sorted by row, of a table of codes; those below 0 are no terms."""
+    t = np.sort(table, 1)
+    new = np.ones(t.shape, bool)
+    new[:, 1:] = t[:, 1:] != t[:, :-1]
+    start = np.flatnonzero(new)
+    c, tf = t.ravel()[start], np.diff(np.append(start, t.size))
+    ok = c >= 0
+    r, c, tf = start[ok] // max(1, t.shape[1]), c[ok], tf[ok]
     w = tf * idf[c]
-    norm = np.sqrt(np.bincount(r, w * w, minlength=n))
+    norm = np.sqrt(np.bincount(r, w * w, minlength=len(table)))
     return r, c, (w / np.maximum(norm[r], 1e-9)).astype(np.float32)
 
 
@@ -143,9 +145,9 @@ def _times_t(a, y: np.ndarray, into: np.ndarray) -> None:
 
 
 def _windows(codes: list[np.ndarray]):
-    """(document, first word, flat codes, row) of the 24-word windows at stride 12 with two words of the vocabulary or more."""
+    """(document, first word, table of codes) of the 24-word windows at stride 12 with two words of the vocabulary or more; -1 fills."""
     size = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.int64)
+    flat = np.concatenate([*codes, np.full(2 * STRIDE, -1)]).astype(np.int32)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
     count = np.maximum(1, -(-np.maximum(size - STRIDE, 1) // STRIDE))
     doc = np.repeat(np.arange(len(size)), count)
@@ -155,16 +157,15 @@ def _windows(codes: list[np.ndarray]):
     z = np.minimum(a + 2 * STRIDE, begin[doc] + size[doc])
     keep = known[z] - known[a] >= 2
     doc, first, a, z = doc[keep], first[keep], a[keep], z[keep]
-    length = z - a
-    row = np.repeat(np.arange(len(doc)), length)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(a, length)
-    return doc, first, flat[at] if len(at) else np.zeros(0, np.int64), row
+    at = a[:, None] + np.arange(2 * STRIDE)
+    return doc, first, np.where(at < z[:, None], flat[at], -1)
 
 
 def _item_triples(items: Items):
-    flat = np.concatenate([*items.passages, np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(items.passages)), [len(p) for p in items.passages])
-    return _sparse(flat, row, len(items.passages), items.idf)
+    table = np.full((len(items.passages), 2 * STRIDE), -1, np.int64)
+    for n, p in enumerate(items.passages):
+        table[n, : len(p)] = p
+    return _sparse(table, items.idf)
 
 
 def fit_space(coded: DataFrame, items: Items, rank: int = 64, extra: int = 16, seed: int = 11) -> Items:
@@ -207,8 +208,8 @@ def fit_space(coded: DataFrame, items: Items, rank: int = 64, extra: int = 16, s
             for b in batches:
                 codes = list(b["codes"])
                 for lo in range(0, len(codes), 500):
-                    doc, _, flat, row = _windows(codes[lo : lo + 500])
-                    a = _sparse(flat, row, len(doc), idf)
+                    doc, _, table = _windows(codes[lo : lo + 500])
+                    a = _sparse(table, idf)
                     y = _times(a, len(doc), x)
                     if gram:
                         out += y.T @ y
@@ -381,8 +382,8 @@ def find_leaks(coded: DataFrame, doc_id: str, items: Items, *, min_cosine: float
     held = spark.sparkContext.broadcast((slim, latent, weight if paraphrase else None))
 
     def search(codes: list[np.ndarray], items: Items, latent: np.ndarray, stretches: Stretches | None) -> list[tuple]:
-        doc, first, flat, row = _windows(codes)
-        p = _times(_sparse(flat, row, len(doc), items.idf), len(doc), items.basis)
+        doc, first, table = _windows(codes)
+        p = _times(_sparse(table, items.idf), len(doc), items.basis)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
         runs: dict[int, list[tuple[int, int]]] = {}
         for n, c in enumerate(codes):
@@ -391,20 +392,17 @@ def find_leaks(coded: DataFrame, doc_id: str, items: Items, *, min_cosine: float
             for i in np.flatnonzero((hi > lo) & (h > 0)):
                 runs.setdefault(n, []).extend((int(i), r) for r in range(lo[i], hi[i]))
         wanted = {(n, i // STRIDE) for n, hs in runs.items() for i, _ in hs}
-        ask = np.array([(int(d), int(f) // STRIDE) in wanted for d, f in zip(doc, first)], bool) if stretches is None else np.ones(len(doc), bool)
-        rows, gate, alike = np.flatnonzero(ask), set(), []
+        gate, alike = set(), []
         step = max(1, 4_000_000 // max(1, n_items))
-        for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            close = p[part] @ latent.T >= min_cosine
-            for k, r in enumerate(part):
-                cs = np.flatnonzero(close[k])
-                n, place = int(doc[r]), int(first[r])
+        for at in range(0, len(doc), step):
+            close = p[at : at + step] @ latent.T >= min_cosine
+            for k in np.flatnonzero(close.any(1)):
+                n, place = int(doc[at + k]), int(first[at + k])
                 if (n, place // STRIDE) in wanted:
-                    gate.update((n, place // STRIDE, int(i)) for i in np.unique(items.owner[cs]))
-                if stretches is not None and len(cs):
+                    gate.update((n, place // STRIDE, int(i)) for i in np.unique(items.owner[close[k]]))
+                if stretches is not None:
                     around = codes[n][max(0, place - MARGIN) : place + 2 * STRIDE + MARGIN]
-                    alike += [(n, int(items.owner[c]), share) for c, share in stretches.cover(np.asarray(around), cs, paraphrase)]
+                    alike += [(n, int(items.owner[c]), share) for c, share in stretches.cover(np.asarray(around), np.flatnonzero(close[k]), paraphrase)]
         found: dict[tuple[int, int], list] = {}
         for n, hs in runs.items():
             longest = longest_runs(codes[n], hs, items)

@@ -45,7 +45,7 @@ def p3_found(s, d):
 
 
 def p3_templates(s, d):
-    return site_lines.site_templates(_t(s, d, "parent_docs"), "parent_key", "source", "page_content").select("source", "template", "n_rows")
+    return site_lines.site_templates(_t(s, d, "parent_docs"), "parent_key", "source", "page_content")
 
 
 def p3_cleaned(s, d):

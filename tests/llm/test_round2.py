@@ -49,3 +49,27 @@ def test_forms_longer_than_the_first_margin():
     text = f"write to {mail} today"
     at = text.index(mail)
     assert pii.check_span(text, at + 250, at + 310, "email") == (at, at + len(mail))
+
+
+# -- 3 lines of a site -----------------------------------------------------------
+
+def test_templates_open_slots_and_merge_over_partitions(spark):
+    from ordinanza.llm import site_lines
+
+    who = ["Anna", "Boris", "Carla", "Dmitri", "Edith", "Farid"]
+    rows = [(i, "a", f"Posted by {who[i % 6]} of the news desk on page {i}\nsome text {chr(97 + i % 26)}{chr(97 + i // 26)} here\nShare this page") for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, source string, t string").repartition(6)
+    got = {r.template: (r.n_rows, r.n_lines) for r in site_lines.site_templates(df, "k", "source", "t").collect()}
+    assert got["posted by <*> of the news desk on page <*>"] == (120, 6) and got["share this page"] == (120, 1)
+    hit = site_lines.site_lines(df, "k", "source", "t").groupBy("line_no").count().collect()
+    assert {r.line_no: r["count"] for r in hit} == {1: 120, 3: 120}
+
+
+def test_token_tree():
+    from ordinanza.llm.site_lines import TokenTree
+
+    t = TokenTree()
+    a = t.add("s", TokenTree.tokens("Share this page with friends"))
+    assert t.add("s", TokenTree.tokens("share THIS page with family")) is a and a == ["share", "this", "page", "with", "<*>"]
+    assert t.add("s", TokenTree.tokens("share your story right now")) is not a
+    assert t.add("other", TokenTree.tokens("share this page with friends")) is not a and t.add("s", []) == []
