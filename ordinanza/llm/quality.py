@@ -50,7 +50,8 @@ _MARK = re.compile(r"^\s*(?:[-*•–·▪o>]\s+|\(?(?:\d{1,3}|[a-z]|[ivxl]{1,6}
 _FIELD = re.compile(r"^\s*[^\W\d_][^\W\d_]*(?:[ /][^\W\d_]+){0,3}\s*(?::|\s=|\s[–—-])\s*\S")
 _FIELD_CUT = re.compile(r"\s*[;|]\s*|\s*\n\s*")
 _CELLS = re.compile(r"\s*\|\s*|\s*\t\s*|\s*\.{3,}\s*|(?<=\S) {2,}(?=\S)")
-_TOKEN = re.compile(r"\S+")
+_GAP = re.compile(r"[|\t]|\.\.\.|  ")
+_SIGNS = re.compile(r"[\W_]+")
 _VOWEL = re.compile(r"[aeiouyáéíóúü]", re.I)
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{6,}", re.I)
 _ENDS = {".": 1, "!": 1, "?": 1, ";": 2, ",": 2, ":": 3}
@@ -80,18 +81,36 @@ _COMMON = frozenset(
 )
 
 
+_TOKENS: dict[str, tuple[bool, bool, bool]] = {}
+
+
+def _token(t: str) -> tuple[bool, bool, bool]:
+    """Whether a token is like a word, an amount, a common word; remembered, as most tokens come again."""
+    got = _TOKENS.get(t)
+    if got is None:
+        amount = t[0] in "$€—" or t[-1] == "%" or t in ("n/a", "R-") or (any(c.isdigit() for c in t) and len(t) <= 10 and not any(c.isalpha() for c in t))
+        got = (_wordlike(t), amount, t.lower().strip(".,;:") in _COMMON)
+        if len(_TOKENS) > 500_000:
+            _TOKENS.clear()
+        _TOKENS[t] = got
+    return got
+
+
 def observe(line: str) -> tuple[int, ...]:
     """The feature values of one line."""
-    toks = _TOKEN.findall(line)
+    toks = line.split()
     n = len(toks)
-    words = [t for t in toks if _wordlike(t)]
-    amounts = sum(1 for t in toks if t[0] in "$€—" or t[-1] == "%" or t in ("n/a", "R-") or (any(c.isdigit() for c in t) and len(t) <= 10 and not any(c.isalpha() for c in t)))
+    words = amounts = common = 0
+    for w, a, c in map(_token, toks):
+        words += w
+        amounts += a
+        common += c
     rest = n - amounts
-    readable = len(words) / rest if rest else (1.0 if amounts and n <= 8 else 0.0)
-    common = sum(t.lower().strip(".,;:") in _COMMON for t in toks) / n if n else 0
+    readable = words / rest if rest else (1.0 if amounts and n <= 8 else 0.0)
+    common = common / n if n else 0
     solid = line.replace(" ", "")
-    signs = sum(not c.isalnum() for c in solid) / len(solid) if solid else 0
-    cells = len(_CELLS.findall(line.strip()))
+    signs = sum(map(len, _SIGNS.findall(solid))) / len(solid) if solid else 0
+    cells = len(_CELLS.findall(line.strip())) if _GAP.search(line) else 0
     return (
         1 if _MARK.match(line) else 2 if _FIELD.match(line) else 0,
         min(cells, 3),
@@ -120,48 +139,42 @@ def units(text: str) -> list[str]:
 
 # -- the model ---------------------------------------------------------------
 
-# Prior counts per state and feature value. They say what a feature means and
-# carry the model where labels are few; labelled lines are added to them.
-_PRIOR = {
-    "prose": ((19, 1, 0.5), (17, 1.5, 0.5, 1), (1, 5, 8, 6), (0.05, 0.5, 19, 1), (3, 6, 11), (8, 8, 3, 1), (18, 2, 0.2)),
-    "list": ((0.1, 12, 8), (19, 0.6, 0.2, 0.2), (3, 12, 4, 1), (0.1, 1, 19, 1), (9, 6, 5), (9, 3, 8, 0.2), (14, 6, 0.2)),
-    "table": ((19.8, 0.2, 0.2), (0.3, 3, 8, 9), (2, 8, 9, 0.6), (0.3, 3, 17, 1), (14, 4, 2), (18, 1.5, 0.3, 0.2), (4, 8, 8)),
-    "junk": ((19.5, 0.5, 0.1), (16, 2, 1, 1), (8, 2, 2, 8), (19, 1, 0.05, 1), (19, 1, 0.05), (18, 1, 1, 0.2), (10, 4, 6)),
-}
+PRIOR = 0.5  # the same count for every value of every feature, and for every transition
 
 
 class LineModel:
-    """HMM over line observations with categorical emissions per feature."""
-
-    def __init__(self, docs: list[tuple[str, list[tuple[int, ...]]]], rounds: int = 3):
-        """``docs``: (kind, observations). Lines of a list or table may be prose
-        (lead-ins) as well; their states come from constrained re-estimation."""
-        self.emit = [np.array([_PRIOR[k][f] for k in KINDS], float) for f in range(len(SIZES))]
-        self.trans = np.full((4, 4), 0.5) + np.eye(4) * 8
-        self.trans[0, 1] = self.trans[0, 2] = 2.0
-        self.start = np.array([6.0, 2, 2, 1])
-        base = ([e.copy() for e in self.emit], self.trans.copy(), self.start.copy())
-        for _ in range(rounds):
-            self._logs()
-            emit, trans, start = [e.copy() for e in base[0]], base[1].copy(), base[2].copy()
-            for kind, obs in docs:
-                allowed = {0, KINDS.index(kind)} if kind in ("list", "table") else {KINDS.index(kind)}
-                path = self.decode(obs, allowed)
+    """HMM over line observations with categorical emissions per feature.
+
+    Everything it knows comes from the labelled documents; the prior is the same
+    for all values.  Without labels every line is prose, and a kind without
+    labels is never given.
+    """
+
+    def __init__(self, docs: list[tuple[str, list[tuple[int, ...]]]], rounds: int = 4):
+        """``docs``: (kind, observations). All lines begin with the kind of their document;
+        lines of a list or table may turn out as prose (lead-ins) in constrained re-estimation."""
+        paths = [[KINDS.index(kind)] * len(obs) for kind, obs in docs]
+        for n in range(rounds + 1):
+            self.emit = [np.full((4, k), PRIOR) for k in SIZES]
+            self.trans, self.start = np.full((4, 4), PRIOR), np.full(4, PRIOR)
+            for path, (_, obs) in zip(paths, docs):
                 for i, (s, o) in enumerate(zip(path, obs)):
                     for f, v in enumerate(o):
-                        emit[f][s, v] += 1
+                        self.emit[f][s, v] += 1
                     if i:
-                        trans[path[i - 1], s] += 1
+                        self.trans[path[i - 1], s] += 1
                     else:
-                        start[s] += 1
-            self.emit, self.trans, self.start = emit, trans, start
-        self._logs()
+                        self.start[s] += 1
+            self._logs()
+            if n < rounds:
+                paths = [self.decode(obs, {0, KINDS.index(kind)} if kind in ("list", "table") else {KINDS.index(kind)}) for kind, obs in docs]
 
     def _logs(self) -> None:
         self.le = [np.log(e / e.sum(1, keepdims=True)) for e in self.emit]
         self.lt = np.log(self.trans / self.trans.sum(1, keepdims=True)).tolist()
         self.ls = np.log(self.start / self.start.sum()).tolist()
         self.cache: dict = {}
+        self.paths: dict = {}
 
     def _scores(self, o) -> list[float]:
         got = self.cache.get(o)
@@ -173,6 +186,9 @@ class LineModel:
         """Best state path (Viterbi) among the allowed states."""
         if not obs:
             return []
+        key = (tuple(obs), len(allowed) == 4)
+        if key[1] and key in self.paths:
+            return self.paths[key]
         st, lt = sorted(allowed), self.lt
         v = {s: self.ls[s] + self._scores(obs[0])[s] for s in st}
         back = []
@@ -189,7 +205,12 @@ class LineModel:
         for bp in reversed(back):
             s = bp[s]
             path.append(s)
-        return path[::-1]
+        path.reverse()
+        if key[1] and len(obs) <= 12:
+            if len(self.paths) > 200_000:
+                self.paths.clear()
+            self.paths[key] = path
+        return path
 
 
 def fit_lines(df: DataFrame, key: str, text: str, labels: DataFrame, kind: str = "kind", max_labels: int = MAX_LABELS) -> LineModel:
