@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .copies import FIELD, fields, is_fields
 
 SALTS = 16
 CLOSING_SHARE = 0.5
+#: Letters and digits that a stand-in may have, unless half of the group's longest text is fewer.
+STAND_IN = 30
 # What a cut text says at its end.
-_MARKER = r"(?i)(?:…|\.\.\.|[\[(<][^\])>]{0,30}(?:continued|missing|cut|next page|truncated|illegible)[^\])>]{0,30}[\])>]|--+\s*(?:see|continued|cut|page)[^\n]{0,40})[\s\p{Z}]*$"
-_PAGE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?[^\p{L}\p{N}\n.,;:%)]*$"
-_HEADER = r"(?m)^.*(?:\p{Lu} ){4}.*$|^(?:CHAPTER|Chapter|TITLE|Title) \d.*$|^\d{1,4} {3,}\p{Lu}.*$|^\p{Lu}[^\n]* {3,}(?:\d{1,4}|\[[\d-]+\])$"
-_MARKED = r"(?m)^\s*(?:[-*•–]\s+|\(?(?:\d{1,3}|\p{L}|[ivxlIVXL]{1,6})[.)]\s+)"
+_MARKER = re.compile(
+    r"(?:…|\.\.\.|[\[(<][^\])>]{0,30}(?:continued|missing|cut|next page|truncated|illegible)[^\])>]{0,30}[\])>]|--+\s*(?:see|continued|cut|page)[^\n]{0,40})[\s\u200b-\u200f\u2060\ufeff]*\Z", re.I
+)
+_PAGE = re.compile(r"[\W_]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?(?:(?![.,;:%)])[\W_])*")
+_SPACED = re.compile(r"(?:[^\W\d_] ){4}")
+_HEADER = re.compile(r"(?:CHAPTER|Chapter|TITLE|Title) \d|\d{1,4} {3,}[^\W\d_]")
+_TAIL_NO = re.compile(r" {3,}(?:\d{1,4}|\[[\d-]+\])\Z")
+_MARKED = re.compile(r"\s*(?:[-*•–]\s+|\(?(?:\d{1,3}|[^\W\d_]|[ivxlIVXL]{1,6})[.)]\s+)")
+_CELLS = re.compile(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S")
+_FIELD = re.compile(r"[^\W\d_](?:[^\W\d_]|[ \xa0/]){0,40}?\s*(?::|\s=|\s[–—-])\s*\S")
+_FIELD_CUT = re.compile(r"\s*[;|]\s*|\s*\n\s*")
+_CLOSED = re.compile(r"[.!?;][\s\u200b-\u200f\u2060\ufeff\"”’)]*\Z")
+_ITEM = re.compile(r"[,;|][\s\u200b-\u200f\u2060\ufeff]*\Z")
+_NOT_WORD = re.compile(r"[\W_]+")
+_LAST_TWO = re.compile(r"([^\W_]+)(?:[\W_]+([^\W_]+))?[\W_]*\Z")
 
 
 def section_ok(section: Column) -> Column:
@@ -22,10 +39,45 @@ def section_ok(section: Column) -> Column:
     return F.coalesce(section.rlike(r"^[^\p{L}\p{N}]*\p{Nd}+\.\p{Nd}+\.\p{Nd}+[^\p{L}\p{N}]*$"), F.lit(False))
 
 
-def _canon(text: Column) -> Column:
-    """Letters and digits in lower case, without page furniture and joins of broken lines."""
-    t = F.regexp_replace(F.regexp_replace(text, _MARKER, ""), _PAGE, "")
-    return F.regexp_replace(F.lower(F.regexp_replace(t, _HEADER, "")), r"[^\p{L}\p{N}]+", "")
+@lru_cache(200_000)
+def _line(x: str) -> tuple[bool, bool, bool, int]:
+    """(page number or running header, marked entry, row of cells, letters and digits of an entry of any form) of one line."""
+    wall = bool(_PAGE.fullmatch(x)) or any(m.group().isupper() for m in _SPACED.finditer(x))
+    if not wall:
+        m = _HEADER.match(x)
+        wall = bool(m and (m.group()[0] in "CT" or m.group()[-1].isupper()) or x[:1].isupper() and _TAIL_NO.search(x))
+    marked, cells = bool(_MARKED.match(x)), bool(_CELLS.search(x))
+    return wall, marked, cells, len(_NOT_WORD.sub("", x)) if marked or cells or _FIELD.match(x) else 0
+
+
+def features(text: str) -> tuple[str, bool, bool, bool, int, str, int, str]:
+    """(canon, cut mark, closed, open item, entry, kind, size, end) of a content.
+
+    canon: letters and digits in lower case without page furniture and the mark
+    of a cut; entry: length of the last line, if it is an entry; size: number of
+    fields, or letters; end: the last two words, numbers as 0.
+    """
+    every = text.split("\n")
+    info = [_line(x) for x in every]
+    bare = text if not any(f[0] for f in info) else "\n".join(x for x, f in zip(every, info) if not f[0])
+    mark = _MARKER.search(text[-120:])
+    uncut = text[: len(text) - len(mark.group())] if mark else text
+    if mark:
+        canon = _NOT_WORD.sub("", "\n".join(x for x in uncut.split("\n") if not _line(x)[0]).lower())
+    else:
+        canon = _NOT_WORD.sub("", bare.lower())
+    last = next((f for x, f in zip(reversed(every), reversed(info)) if _NOT_WORD.sub("", x)), None)
+    parts = [p for p in _FIELD_CUT.split(text) if p.strip()]
+    n_lines = sum(bool(x.strip()) for x in every)
+    if len(parts) > 1 and all(_FIELD.match(p.strip()) for p in parts):
+        kind, n = "fields", len(parts)
+    else:
+        marked, cells = sum(f[1] for f in info), sum(f[2] and len(x) < 120 for x, f in zip(every, info))
+        kind = "list" if marked * 2 > n_lines else "table" if cells * 2 > n_lines > 2 else "prose"
+        n = len(canon)
+    m = _LAST_TWO.search(bare.lower(), max(0, len(bare) - 200))
+    end = re.sub(r"\d+", "0", " ".join(w for w in m.groups() if w)) if m else ""
+    return canon, bool(mark), bool(_CLOSED.search(bare[-60:])), bool(_ITEM.search(text[-60:])), last[3] if last else 0, kind, n, end
 
 
 def salted(rows: DataFrame, groups: DataFrame, group: str, salt_of: str, salts: int = SALTS) -> DataFrame:
@@ -50,24 +102,50 @@ def next_in_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     return d.withColumn(out, F.when(ng.eqNullSafe(F.col(group)), nv)).drop("_p", "_ng", "_nv", "_last", "_nf")
 
 
+_STOP = re.compile(r"[.!?;](?=[\s\u200b-\u200f\u2060\ufeff\"”’)])")
+_DIGITS = re.compile(r"\d+")
+
+
 def _closing_shares(texts: DataFrame, text: str, ends: DataFrame) -> DataFrame:
     """(_end, _share): of the places of a word pair in the texts, the share that closes a sentence.
 
-    ``ends`` holds the distinct pairs asked for.  An end of a text without a mark is no place.
+    ``ends`` holds the distinct pairs asked for.  An end of a text without a mark
+    is no place, nor is a pair over the end of a sentence.  Every task counts its own places first.
     """
-    spans = F.split(F.concat(F.regexp_replace(F.lower(text), r"\p{N}+", "0"), F.lit(" ")), r"[.!?;](?=[\s\p{Z}\p{Cf}\"”’)])")
-    words = F.transform(spans, lambda v: F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}]+"), 0))
-    pair = lambda w: lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, 2)).alias("p"), (i == F.size(w) - 1).alias("last"))
-    pairs = lambda w, n: F.filter(F.transform(F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), pair(w)), lambda x: ~x["last"] | (n < F.size(spans) - 1))
-    seen = texts.select(F.explode(F.flatten(F.transform(words, pairs))).alias("_x")).select(F.col("_x.p").alias("_end"), F.col("_x.last").cast("int").alias("_last"))
-    return seen.join(ends, "_end", "left_semi").groupBy("_end").agg(F.avg("_last").alias("_share"))
 
-
-def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars: int = 30) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["_end", "_n", "_last"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for t in b["t"]:
+                spans = _STOP.split(_DIGITS.sub("0", t.lower()) + " ")
+                for i, span in enumerate(spans):
+                    ws = _NOT_WORD.sub(" ", span).split()
+                    closed = i < len(spans) - 1
+                    for j in range(len(ws) - 1):
+                        last = j == len(ws) - 2
+                        if not last or closed:
+                            got = seen.setdefault(f"{ws[j]} {ws[j + 1]}", [0, 0])
+                            got[0] += 1
+                            got[1] += last
+                if len(seen) > 50_000:
+                    yield flush()
+        yield flush()
+
+    pairs = texts.select(F.col(text).alias("t")).mapInPandas(run, "_end string, _n long, _last long")
+    return pairs.join(ends, "_end", "left_semi").groupBy("_end").agg((F.sum("_last") / F.sum("_n")).alias("_share"))
+
+
+def whole_content(df: DataFrame, key: str, group: str, content: str) -> DataFrame:
     """(key, group, whole): whether a content holds its group's whole text in any wording.
 
-    Not whole are: null, blank and stand-in contents (fewer than ``min_chars``
-    letters and digits); contents with a mark of being cut at their end; contents
+    Not whole are: null, blank and stand-in contents (fewer than STAND_IN letters
+    and digits, and fewer than half of the group's longest text); contents with a mark of being cut at their end; contents
     that continue in another row of the group (their letters and digits begin a
     longer one by more than a few, or than a short closed note behind a closed text or a
     complete entry) or lack a stretch before their end (same last letters, clearly
@@ -75,32 +153,32 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     stand with one elsewhere in the group, or its last two words close a text of the
     group or at least half of their places in all texts, and its length is that of the group's closed text, if it has one; ``Key: value`` contents with fewer fields, and lists and tables
     with clearly fewer characters, than the fullest of the group.
+
+    Every bound is a share inside the group or of a word pair's own places, so
+    rows of other groups change a result only through how word pairs close.
     """
     c = F.col(content)
-    x = df.where(c.isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), c.alias("_c"))
-    clean = lambda v: F.regexp_replace(F.regexp_replace(v, _PAGE, ""), _HEADER, "")
-    bare = clean(F.col("_c"))
-    x = x.withColumn("_canon", _canon(F.col("_c"))).where(F.length("_canon") >= min_chars)
-    x = x.withColumn("_cutmark", F.col("_c").rlike(_MARKER)).withColumn("_closed", bare.rlike(r"[.!?;][\s\p{Z}\p{Cf}\"”’)]*$"))
-    x = x.withColumn("_item", F.col("_c").rlike(r"[,;|][\s\p{Z}\p{Cf}]*$"))
-    lines = F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"[\p{L}\p{N}]"))
-    entry = lambda v: v.rlike(_MARKED) | v.rlike(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S") | v.rlike(FIELD)
-    x = x.withColumn("_entry", F.coalesce(F.when(entry(F.element_at(lines, -1)), F.length(F.regexp_replace(F.element_at(lines, -1), r"[^\p{L}\p{N}]+", ""))), F.lit(0)))
-    n_lines = F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S")))
-    marked, cells = F.size(F.regexp_extract_all("_c", F.lit(_MARKED), 0)), F.size(F.filter(F.split("_c", "\n"), lambda v: v.rlike(r"\S\s*(?:\||\t|\.{3,}| {2,})\s*\S") & (F.length(v) < 120)))
-    kind = F.when(is_fields(F.col("_c")), "fields").when(marked * 2 > n_lines, "list").when((cells * 2 > n_lines) & (n_lines > 2), "table").otherwise("prose")
-    x = x.withColumn("_kind", kind).withColumn("_n", F.when(F.col("_kind") == "fields", F.size(fields(F.col("_c")))).otherwise(F.length("_canon")))
-    words = F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{N}]+"), 0)
-    x = x.withColumn("_end", F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2)))
-    x = x.withColumn("_end", F.regexp_replace("_end", r"\p{N}+", "0"))
+    src = df.where(c.isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), c.alias("_c"))
+    kinds = dict(src.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["_canon", "_cutmark", "_closed", "_item", "_entry", "_kind", "_n", "_end"]
+        for b in batches:
+            for lo in range(0, len(b), 2000):
+                part = b.iloc[lo : lo + 2000]
+                f = pd.DataFrame([features(t) for t in part["_c"]], columns=names)
+                yield pd.concat([part[["_k", "_g"]].reset_index(drop=True), f], axis=1)
+
+    schema = f"_k {kinds['_k']}, _g {kinds['_g']}, _canon string, _cutmark boolean, _closed boolean, _item boolean, _entry int, _kind string, _n int, _end string"
+    x = src.mapInPandas(run, schema).where("_canon <> ''")
     x = x.withColumn("_len", F.length("_canon")).withColumn("_tail", F.xxhash64(F.right("_canon", F.lit(24))))
-    x = cut(x.withColumn("_h", F.xxhash64("_canon")).drop("_c"))
+    x = cut(x.withColumn("_h", F.xxhash64("_canon")))
     tails = x.where("not _cutmark").groupBy("_g", "_tail").agg(F.max("_len").alias("_full"))
     x = x.join(tails, ["_g", "_tail"], "left")
     x = x.withColumn("_gap", (F.col("_kind") == "prose") & F.coalesce(F.col("_len") < 0.92 * F.col("_full"), F.lit(False)))
     of = lambda k: F.max(F.when(F.col("_kind") == k, F.col("_n")))
     closed_len = F.max(F.when((F.col("_kind") == "prose") & F.col("_closed") & ~F.col("_cutmark") & ~F.col("_gap"), F.col("_len")))
-    top = x.groupBy("_g").agg(of("fields").alias("_tf"), of("list").alias("_tl"), of("table").alias("_tt"), closed_len.alias("_tp"))
+    top = x.groupBy("_g").agg(of("fields").alias("_tf"), of("list").alias("_tl"), of("table").alias("_tt"), closed_len.alias("_tp"), F.max("_len").alias("_most"))
     forms = x.groupBy("_g", "_canon").agg(
         F.max("_closed").alias("_any_closed"),
         F.max("_item").alias("_any_item"),
@@ -118,16 +196,17 @@ def whole_content(df: DataFrame, key: str, group: str, content: str, min_chars:
     ends = x.where("_kind = 'prose' and _closed and not _cutmark").groupBy("_g", "_end").agg(F.lit(True).alias("_end_closed"))
     y = x.join(forms, ["_g", "_h"]).join(ends, ["_g", "_end"], "left")
     open_ends = y.where("_kind = 'prose' and not _cutmark and not _any_closed and _end_closed is null").select("_end").distinct()
-    y = y.join(_closing_shares(df.where(c.isNotNull() & F.col(group).isNotNull()).select(clean(c).alias("_b")), "_b", open_ends), "_end", "left")
+    y = y.join(_closing_shares(df.where(c.isNotNull() & F.col(group).isNotNull()), content, open_ends), "_end", "left")
     y = y.withColumn("_known_end", F.coalesce("_end_closed", F.col("_share") >= CLOSING_SHARE, F.lit(False)))
     y = salted(y, top, "_g", "_k")
     short = F.col("_gap") | (
         F.when(F.col("_kind") == "fields", F.col("_n") < F.col("_tf"))
         .when(F.col("_kind") == "list", (F.col("_n") < 0.9 * F.col("_tl")) & (F.col("_tl") - F.col("_n") > 30))
         .when(F.col("_kind") == "table", (F.col("_n") < 0.9 * F.col("_tt")) & (F.col("_tt") - F.col("_n") > 30))
-        .otherwise(~F.col("_any_closed") & ~(F.col("_known_end") & (F.col("_tp").isNull() | F.col("_len").between(0.92 * F.col("_tp"), 1.08 * F.col("_tp")))))
+        .otherwise(~F.col("_any_closed") & ~(F.col("_known_end") & (F.col("_tp").isNull() | (F.col("_tp") < 0.5 * F.col("_most")) | F.col("_len").between(0.92 * F.col("_tp"), 1.08 * F.col("_tp")))))
     )
     whole = ~F.col("_cutmark") & ~short & ((F.col("_more") <= 2) | (F.col("_more") <= 15) & (F.col("_closed") | (F.col("_kind") == "fields")))
+    whole = whole & (F.col("_len") >= F.least(F.lit(float(STAND_IN)), 0.5 * F.col("_most")))
     got = y.select("_k", "_g", whole.alias("whole"))
     return got.select(F.col("_k").alias(key), F.col("_g").alias(group), "whole")
 
