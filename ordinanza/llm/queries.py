@@ -55,7 +55,7 @@ def p3_cleaned(s, d):
 # -- 4 copies in other form ------------------------------------------------------
 
 def _long_sections(s, d):
-    return _t(s, d, "sections").where(F.length(F.regexp_replace("content", copies._SPACE + "$|^" + copies._SPACE, "")) > 50)
+    return _t(s, d, "sections").where(F.length(F.regexp_replace("content", copies.SPACE + "$|^" + copies.SPACE, "")) > 50)
 
 
 def p4_found(s, d):

@@ -29,33 +29,27 @@ def _stretches(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_level(text: str, limit: int) -> int:
-    """The coarsest level (4 paragraph ... 1 word, 0 none) at which every
-    stretch, without white space around it, has at most ``limit`` characters."""
-    todo = [(0, len(text))]
-    for level in (4, 3, 2, 1):
-        nxt = []
-        for a, b in todo:
-            for x, y in _stretches(text, a, b, level):
-                if y - x > limit and len(text[x:y].strip()) > limit:
-                    nxt.append((x, y))
-        if not nxt:
-            return level
-        todo = nxt
-    return 0
-
-
-def atoms(text: str, limit: int) -> tuple[list[int], list[int]]:
-    """Starts of the atomic segments and the strength of the boundary before
-    each: the coarsest stretches that fit, hard cuts inside what never fits."""
+def atoms(text: str, room: int, limit: int) -> tuple[list[int], list[int], int]:
+    """Starts of the atomic segments, the strength of the boundary before each, and the cut level.
+
+    Atoms are the coarsest stretches of at most ``room`` characters, with hard
+    cuts inside what never fits.  The cut level (4 paragraph ... 1 word, 0 none)
+    is the finest boundary that had to be cut because a stretch, without white
+    space around it, has more than ``limit`` characters; for the whole text white space counts.
+    """
     starts, strength = [], []
+    needed = 4
 
     def walk(a: int, b: int, level: int, before: int) -> None:
-        if b - a <= limit:
+        nonlocal needed
+        if b - a <= room:
             starts.append(a)
             strength.append(before)
-        elif level == 0:
-            for i, x in enumerate(range(a, b, limit)):
+            return
+        if level < needed and len(text[a:b].strip()) > limit:
+            needed = level
+        if level == 0:
+            for i, x in enumerate(range(a, b, room)):
                 starts.append(x)
                 strength.append(before if i == 0 else 0)
         else:
@@ -63,11 +57,12 @@ def atoms(text: str, limit: int) -> tuple[list[int], list[int]]:
                 walk(x, y, level - 1, before if i == 0 else level)
 
     walk(0, len(text), 4, 5)
-    return starts, strength
+    return starts, strength, needed
 
 
-def split_spans(text: str, limit: int = 500, overlap: int = 50) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the cut before it) of every piece, without its overlap.
+def split_spans(text: str, limit: int = 500, overlap: int = 50) -> tuple[list[tuple[int, int, int]], int | None]:
+    """(start, end, strength of the cut before it) of every piece, without its overlap, and the cut level of the atoms
+    (see ``atoms``; None for a text within the limit).
 
     The spans cover the text without gaps.  Adjacent segments sit in a heap by
     (boundary strength, combined size, place) and merge weakest first while the
@@ -75,9 +70,9 @@ def split_spans(text: str, limit: int = 500, overlap: int = 50) -> list[tuple[in
     """
     n = len(text)
     if n <= limit:
-        return [(0, n, 5)]
+        return [(0, n, 5)], None
     room = limit - overlap
-    starts, strength = atoms(text, room)
+    starts, strength, level = atoms(text, room, limit)
     k = len(starts)
     end = starts[1:] + [n]
     left, right = list(range(-1, k - 1)), list(range(1, k + 1))
@@ -100,7 +95,7 @@ def split_spans(text: str, limit: int = 500, overlap: int = 50) -> list[tuple[in
         for a, b in ((left[j], j), (j, right[j])):
             if a >= 0 and b < k and end[b] - starts[a] <= room:
                 heapq.heappush(heap, (strength[b], end[b] - starts[a], b, version[a], version[b]))
-    return [(starts[i], end[i], strength[i]) for i in range(k) if alive[i]]
+    return [(starts[i], end[i], strength[i]) for i in range(k) if alive[i]], level
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: int = 500, overlap: int = 50, with_text: bool = True) -> DataFrame:
@@ -127,8 +122,9 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 500, overla
             rows = []
             for k, t in zip(b["_key"].to_numpy(), b["_text"].to_numpy()):
                 big = len(t) > limit
-                level = LEVELS[cut_level(t, limit)] if big else None
-                for i, (x, y, s) in enumerate(split_spans(t, limit, overlap)):
+                spans, level = split_spans(t, limit, overlap)
+                level = None if level is None else LEVELS[level]
+                for i, (x, y, s) in enumerate(spans):
                     o = min(overlap, x)
                     rows.append((k, i, x - o + 1, y - x + o, o, "start" if i == 0 else LEVELS[s], big, level, *((t[x - o : y],) if with_text else ())))
             yield pd.DataFrame(rows, columns=names)
