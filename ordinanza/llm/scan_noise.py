@@ -37,6 +37,7 @@ _SHAPE = {(b, a): 0.25 for a, b in SHAPES}
 _MARKS = "-‐¬­"
 _OUT = ".,;:!?()[]\"'“”’‘<>*•~-–—|/\\…§"
 _DROP = dict.fromkeys(map(ord, "​‌‍﻿⁠­"))
+_TOKEN = re.compile(r"\S+")
 _END_MARK = re.compile(rf"[{_MARKS}][^\S\n]*\n")
 
 
@@ -54,9 +55,12 @@ def split_end(line: str) -> tuple[str, str, str] | None:
 def broken_pairs(text: str) -> Iterator[tuple[str, str]]:
     """The tokens on both sides of every line end behind a mark."""
     for m in _END_MARK.finditer(text):
-        left, right = text[max(0, m.start() - 40) : m.start()].split(), text[m.end() : m.end() + 60].split()
-        if left and right and left[-1][-1].isalpha():
-            yield left[-1], right[0]
+        right = _TOKEN.search(text, m.end())
+        at = m.start()
+        if right and at and text[at - 1].isalpha():
+            while at and not text[at - 1].isspace():
+                at -= 1
+            yield text[at : m.start()], right.group()
 
 
 def plain(raw: str) -> str:
@@ -71,7 +75,7 @@ def inner(raw: str) -> str:
 
 def _wordlike(u: str) -> bool:
     letters = sum(c.isalpha() for c in u)
-    return 2 <= letters and 3 <= len(u) <= 24 and letters * 2 >= len(u) and ":" not in u and "/" not in u and "_" not in u
+    return (2 <= letters and 3 <= len(u) or letters == 1 and len(u) == 2) and letters * 2 >= len(u) and ":" not in u and "/" not in u and "_" not in u
 
 
 def count_words(texts: DataFrame, text: str) -> DataFrame:
@@ -112,8 +116,6 @@ def _distance(s: str, v: str) -> tuple[float, int]:
     while j < len(s) - i and j < len(v) - i and s[-1 - j] == v[-1 - j]:
         j += 1
     a, b = s[i : len(s) - j], v[i : len(v) - j]
-    if len(a) > 12 or len(b) > 12:
-        return 9.0, 12
     if (a, b) in _SHAPE:
         return 0.25, max(len(a), len(b))
     # shapes that take in a neighbour of the middle (rn for m next to an n)
@@ -213,31 +215,57 @@ def fit_ranker(lexicon: dict[str, int], seed: int = 5) -> Boosted:
     return Boosted().fit(np.array(xs), np.array(ys)) if sum(ys) > 20 else Boosted().fit(np.zeros((1, 10)), np.zeros(1))
 
 
-def corrections(counts: DataFrame, lexicon_n: float, ranker: Boosted, min_p: float = 0.5) -> DataFrame:
+def _lost(n: int) -> int:
+    """Bigrams of a word of n letters that a misreading may change."""
+    return 3 if n <= 5 else 4 if n <= 8 else 5
+
+
+def corrections(counts: DataFrame, lexicon: dict[str, int], ranker: Boosted, min_p: float = 0.5) -> DataFrame:
     """(word, fix, p): misread words and their replacements.
 
-    Candidates share bigrams with a word of the lexicon of nearly the same
-    length; the join is on (bigram, length), so pairs of very different words
-    never meet.
+    A candidate, a word of the lexicon, has all bigrams of a word but a few
+    (``_lost``) and nearly its length.  Two sets that share that many have one in
+    common among the rarest few of either, so only those are joined, with the
+    length; the grams that most words have join nothing.  Pairs within a few
+    edits are ranked by the trees.
     """
-    w = counts.where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}.*\p{L}") & (F.length("word") <= 24))
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, F.lit(2))))
-    s = w.select(F.col("word").alias("s"), F.col("n").alias("ns"), F.length("word").alias("len"), F.explode(gram(F.col("word"))).alias("g"))
-    lex = w.where((F.col("n") >= lexicon_n) & F.col("word").rlike(r"^\p{L}[\p{L}'-]*$"))
-    v = lex.select(F.col("word").alias("v"), F.col("n").alias("nv"), F.length("word").alias("lv"), F.explode(gram(F.col("word"))).alias("g"))
-    v = v.withColumn("len", F.explode(F.sequence(F.col("lv") - 1, F.col("lv") + 2)))
-    pairs = s.join(v, ["g", "len"]).where("s <> v and nv >= 8 * ns").groupBy("s", "ns", "v", "nv").agg(F.count("*").alias("shared"))
-    pairs = pairs.where("shared >= length(v) + 1 - case when length(v) <= 5 then 3 when length(v) <= 8 then 4 else 5 end")
+    sc = counts.sparkSession.sparkContext
+    have: Counter = Counter()
+    for w in lexicon:
+        have.update(_bigrams(w))
+    rarity = sc.broadcast({g: n for n, (g, _) in enumerate(sorted(have.items(), key=lambda x: (x[1], x[0])), 1)})
+    words = sc.broadcast(frozenset(lexicon))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank, known = rarity.value.get, words.value
+        for b in batches:
+            for lo in range(0, len(b), 2000):
+                rows = []
+                for w, n in zip(b["word"].iloc[lo : lo + 2000], b["n"].iloc[lo : lo + 2000]):
+                    size = len(w)
+                    if size < 2 or size == 2 and w.isalpha() or not any(map(str.isalpha, w)):
+                        if w not in known:
+                            continue
+                    order = sorted(_bigrams(w), key=lambda g: (rank(g, 0), g))
+                    if not (size == 2 and w.isalpha()):
+                        rows += [(w, n, size, g, False) for g in order[: _lost(size + 1) + 3]]
+                    if w in known:
+                        rows += [(w, n, k, g, True) for g in order[: _lost(size) + 1] for k in range(size - 1, size + 3)]
+                yield pd.DataFrame(rows, columns=["w", "n", "len", "g", "known"])
+
+    every = cut(counts.select("word", "n").mapInPandas(grams, "w string, n long, len int, g string, known boolean"))
+    s = every.where("not known").select(F.col("w").alias("s"), F.col("n").alias("ns"), "len", "g")
+    v = every.where("known").select(F.col("w").alias("v"), F.col("n").alias("nv"), "len", "g")
+    pairs = s.join(v, ["g", "len"]).where("s <> v and nv >= 8 * ns").select("s", "ns", "v", "nv").distinct()
     pairs = pairs.where("levenshtein(s, v, 4) between 1 and case when length(v) <= 5 then 2 when length(v) <= 8 then 3 else 4 end")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x = np.array([pair_features(*r) for r in zip(b["s"], b["ns"], b["v"], b["nv"], b["shared"])])
-                b = b.assign(p=np.where(x[:, 0] <= 1.0, ranker.probability(x), 0.0))
-                b = b.loc[b["p"] >= min_p]
-                if len(b):
-                    yield pd.DataFrame({"s": b["s"].to_numpy(object), "v": b["v"].to_numpy(object), "nv": b["nv"].to_numpy(), "p": b["p"].to_numpy()})
+            rows = [(s, v, nv, pair_features(s, ns, v, nv, shared)) for s, ns, v, nv in zip(b["s"], b["ns"], b["v"], b["nv"]) if (shared := len(_bigrams(s) & _bigrams(v))) >= len(v) + 1 - _lost(len(v))]
+            if rows:
+                p = ranker.probability(np.array([r[3] for r in rows]))
+                rows = [(s, v, nv, x) for (s, v, nv, _), x in zip(rows, p.tolist()) if x >= min_p]
+            yield pd.DataFrame(rows, columns=["s", "v", "nv", "p"])
 
     ranked = pairs.mapInPandas(rank, "s string, v string, nv long, p double")
     best = ranked.groupBy("s").agg(F.max(F.struct(F.round("p", 3).alias("p"), "nv", "v")).alias("b"))
@@ -277,8 +305,10 @@ _LEAD_NO = re.compile(r"^\s*\d{1,4}\s{2,}[^\W\d_]")
 _TAIL_NO = re.compile(r"\s{2,}(?:\d{1,4}|\[\d{1,3}[-.]\d{1,4}\])\s*$")
 _DIVISION = re.compile(r"^\s*(?:chapter|title|part|article|division)\s+\d{1,3}(?:\.\d{1,3})?\b", re.I)
 _CODE_TITLE = re.compile(r"^\s*\d{1,3}\.\d{1,3}(?!\.?\d)\s")
-_HEADS = frozenset(("cha", "tit", "pag", "pg.", "pg ", "p. ", "par", "art", "div"))
 _ENTRY = re.compile(r"\s*(?:[-*•]|\(?\w{1,4}[.)])\s")
+_COLUMNS = re.compile(r"\S\s*(?:\||\t|\.{4,}| {3,})\s*\S")
+_HEADED = re.compile(r"^[\W_]*(?:section\s+)?\d{1,3}\.\d{1,3}\.\d{1,4}\b", re.I)
+_KEYED = re.compile(r"^\s*[^\W\d_]+(?:[ /][^\W\d_]+){0,3}\s*(?::|\s=|\s[–—-])\s*\S")
 _OPEN_END = re.compile(r"[.!?;,:]\s*$")
 
 
@@ -299,30 +329,110 @@ def line_features(line: str) -> list[float]:
     ]
 
 
-def fit_furniture(seed: int = 8) -> Boosted:
+def fit_furniture(lexicon: dict[str, int], seed: int = 8) -> Boosted:
     """Trees over one line, trained on page numbers and running headers of many
-    forms against headings, ends of wrapped headings, list entries, table rows and text."""
+    forms against headings, ends of wrapped headings, list entries, table rows and text.
+
+    Titles and text are made of words of the lexicon.
+    """
     rng = random.Random(seed)
-    titles = ["Noise Control", "Street Trees", "Keeping of Animals", "Conduct in Public Places", "Building Permits", "Signs and Banners", "Public Works", "Encroachments", "Home Occupations"]
-    text = "the owner shall keep a record of every permit that the board may review within ten days of the notice and no person".split()
+    words = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0])) if w.isalpha() and len(w) > 2][:TRAIN_WORDS] or ["word", "line", "text"]
+    title = lambda: " ".join(rng.choice(words).capitalize() for _ in range(rng.randint(1, 4)))
     pos, neg = [], []
     for _ in range(1500):
         n, m = rng.randint(1, 999), rng.randint(1, 999)
-        t = rng.choice(titles)
+        t = title()
         form = rng.choice([t, t.upper(), "   ".join(" ".join(w.upper()) for w in t.split())])
         pos.append(rng.choice([f"{n}", f"    {n}", f"- {n} -", f"— {n} —", f"~ {n} ~", f"• {n} •", f"[{n}]", f"p. {n}", f"Pg. {n}", f"Page {n}", f"Page {n} of {m}", f"{n}/{m}", f"{n % 30}-{m}"]))
-        pos.append(rng.choice([f"{n}    {form}", f"{form}    {n}", f"{form}   [{n % 30}-{m}]", f"CHAPTER {n % 30}.{m % 50:02d} {form}", f"Title {n % 30} - {form}", f"{n % 30}.{m % 50:02d} {form}    {n}"]))
-        k = rng.randint(3, 12)
-        body = " ".join(rng.choice(text) for _ in range(k))
+        pos.append(rng.choice([f"{n}    {form}", f"{form}    {n}", f"{form}   [{n % 30}-{m}]", f"CHAPTER {n % 30}.{m % 50:02d} {form}", f"Title {n % 30} - {form}", f"{n % 30}.{m % 50:02d} {form}    {n}", "   ".join(" ".join(w.upper()) for w in t.split() if len(w) > 4) or f"{n}"]))
+        k = rng.randint(1, 12)
+        body = " ".join(rng.choice(words) for _ in range(k))
         neg += [
-            rng.choice([body, body.capitalize() + ".", body.upper() + ".", body + ","]),
-            rng.choice([f"{n % 30}.{m % 50:02d}.{n % 999:03d} {t}, {body}", f"11-{n:04d} § 2)", "§ 2)", f"11-{n:04d})", f"11-{n:04d}]", f"Ordinance 11-{n:04d}", f"Ord. 11-{n:04d} § 2)"]),
-            rng.choice([f"{n % 20}) fee of ${m}", f"({rng.choice('abcdef')}) {body}", f"{n % 20}. {body}", f"{body} | {n}% | no", f"{t}   {n} ft   yes   no", f"{body} ..... {n}  R-{n % 9}", f"{t} {body} {n}", "Submit all of these:", t]),
+            rng.choice([body, body.capitalize() + ".", body.upper() + ".", body + ",", body.upper(), body.capitalize()]),
+            rng.choice([f"{n % 30}.{m % 50:02d}.{n % 999:03d} {t}, {body}", f"11-{n:04d} § 2)", "§ 2)", f"11-{n:04d})", f"11-{n:04d}]", f"Ordinance 11-{n:04d}", f"Ord. 11-{n:04d} § 2)", f"{n % 30}.{m % 50:02d}.{n % 999:03d}"]),
+            rng.choice([f"{n % 20}) fee of ${m}", f"({rng.choice('abcdef')}) {body}", f"{n % 20}. {body}", f"{body} | {n}% | no", f"{t}   {n} ft   yes   no", f"{body} ..... {n}  R-{n % 9}", f"{t} {body} {n}", f"{t} {n}", f"{n} {body}", "Submit all of these:", t]),
         ]
     x = np.array([line_features(v) for v in pos + neg])
     return Boosted(trees=40).fit(x, np.array([1] * len(pos) + [0] * len(neg)))
 
 
+# -- flow of paragraphs -----------------------------------------------------------
+
+def flow_features(line: str, nxt: str, width: int) -> list[float]:
+    """A line, the one below it and the width of the text: does the sentence or paragraph go on?"""
+    s, t = line.rstrip(), nxt.strip()
+    first = t.split(" ", 1)[0]
+    return [
+        len(s) / max(1, width),
+        float(width - len(s) > len(first)),  # the next word would have had room
+        float(t[:1].islower()),
+        float(t[:1].isdigit()),
+        float(bool(_ENTRY.match(nxt))),
+        float(bool(_ENTRY.match(line))),
+        float(s[-1:] in ".!?"),
+        float(s[-1:] == ":"),
+        float(s[-1:] in ",;"),
+        float(bool(_COLUMNS.search(s)) + bool(_COLUMNS.search(t))),
+        float(bool(_HEADED.match(s))),
+        float(bool(_HEADED.match(t))),
+        float(bool(_KEYED.match(t))),
+    ]
+
+
+def fit_flow(lexicon: dict[str, int], seed: int = 9) -> Boosted:
+    """Trees over line pairs, trained on generated pages: wrapped paragraphs, headings, lists, tables and fields of words of the lexicon."""
+    rng = random.Random(seed)
+    words = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0])) if w.isalpha()][:TRAIN_WORDS] or ["word", "line", "text"]
+    phrase = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
+
+    def sentence() -> str:
+        x = phrase(6, 22).capitalize()
+        return (f"{x} {rng.randint(2, 999)} {phrase(1, 6)}" if rng.random() < 0.3 else x) + rng.choice("....;?")
+
+    def wrapped(text: str, width: int) -> list[str]:
+        out, cur = [], ""
+        for w in text.split():
+            if cur and len(cur) + 1 + len(w) > width:
+                out.append(cur)
+                cur = w
+            else:
+                cur = f"{cur} {w}" if cur else w
+        return [*out, cur]
+
+    xs, ys = [], []
+    for _ in range(700):
+        width = rng.randint(40, 100)
+        page: list[tuple[str, bool]] = []  # (line, goes on into the next)
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.3:
+                page.append((f"{rng.randint(1, 20)}.{rng.randint(1, 50):02d}.{rng.randint(1, 999):03d} {phrase(2, 6).title()}", False))
+            if kind < 0.65:
+                ls = wrapped(" ".join(sentence() for _ in range(rng.randint(2, 6))), width)
+                page += [(x, i < len(ls) - 1) for i, x in enumerate(ls)]
+            elif kind < 0.8:
+                page.append((phrase(2, 6).capitalize() + ":", False))
+                for i in range(rng.randint(2, 5)):
+                    ls = wrapped(rng.choice(["- ", f"{i + 1}. ", f"({chr(97 + i)}) "]) + phrase(2, 14) + rng.choice(",;"), width)
+                    page += [(x, j < len(ls) - 1) for j, x in enumerate(ls)]
+            elif kind < 0.9:
+                sep = rng.choice([" | ", "   ", " ..... "])
+                page += [(sep.join(rng.choice([phrase(1, 2), f"{rng.randint(1, 99)}%", "no"]) for _ in range(3)), False) for _ in range(4)]
+            else:
+                page += [(f"{phrase(1, 2).title()}: {phrase(1, 5)}", False) for _ in range(4)]
+        w = text_width([x for x, _ in page])
+        for (a, on), (b, _) in zip(page, page[1:]):
+            xs.append(flow_features(a, b, w))
+            ys.append(int(on))
+    return Boosted(trees=60, depth=4).fit(np.array(xs), np.array(ys))
+
+
+def text_width(lines: list[str]) -> int:
+    """The length that nine of ten lines do not exceed."""
+    sizes = sorted(len(x.rstrip()) for x in lines if x.strip())
+    return sizes[min(len(sizes) - 1, len(sizes) * 9 // 10)] if sizes else 0
+
+
 @dataclass
 class NoiseModel:
     """What the row-local pass needs: the bounded lexicon and the two line classifiers."""
@@ -330,12 +440,16 @@ class NoiseModel:
     lexicon: dict[str, int]
     joiner: Boosted
     furniture: Boosted
-    fixes: DataFrame
+    flow: Boosted | None  # only ``repair`` needs and fits it
+    fixes: DataFrame | None
     safe: frozenset
 
 
 def fit(tables: list[tuple[DataFrame, str]]) -> NoiseModel:
-    """Count the words of all texts, fit the classifiers and find the corrections."""
+    """Count the words of all texts, fit the classifiers and find the corrections.
+
+    All training lines and words are generated from the TRAIN_WORDS most frequent words of the lexicon.
+    """
     counts = None
     for df, text in tables:
         c = count_words(df, text)
@@ -344,19 +458,25 @@ def fit(tables: list[tuple[DataFrame, str]]) -> NoiseModel:
     total = counts.agg(F.sum("n")).first()[0] or 0
     need = max(MIN_COUNT, MIN_SHARE * total)
     lexicon = {r.word: r.n for r in counts.where((F.col("n") >= need) & F.col("word").rlike(r"^\p{L}[\p{L}'.-]*$")).collect()}
-    fixes = cut(corrections(counts, need, fit_ranker(lexicon)))
-    wrong = {r.word for r in fixes.where(F.col("word").isin(list(lexicon)) if len(lexicon) < 5_000 else F.lit(True)).select("word").join(counts.where(F.col("n") >= need), "word").collect()}
-    return NoiseModel(lexicon, fit_joiner(lexicon), fit_furniture(), fixes, frozenset(w for w in lexicon if w not in wrong))
+    fixes = cut(corrections(counts, lexicon, fit_ranker(lexicon)))
+    wrong = {r.word for r in fixes.select("word").join(counts.where(F.col("n") >= need), "word").collect()}
+    return NoiseModel(lexicon, fit_joiner(lexicon), fit_furniture(lexicon), None, fixes, frozenset(w for w in lexicon if w not in wrong))
+
+
+def _held(df: DataFrame, model: NoiseModel):
+    """The model without its corrections, sent to every executor once."""
+    return df.sparkSession.sparkContext.broadcast(NoiseModel(model.lexicon, model.joiner, model.furniture, model.flow, None, model.safe))
 
 
 class _Reader:
     """Finds events in one text: furniture lines, breaks, and words outside the lexicon."""
 
     def __init__(self, m: NoiseModel):
-        self.lexicon, self.joiner, self.trees, self.safe = m.lexicon, m.joiner, m.furniture, m.safe
+        self.lexicon, self.joiner, self.trees, self.flow, self.safe = m.lexicon, m.joiner, m.furniture, m.flow, m.safe
         self.memo: dict[str, tuple[str, ...]] = {}
         self.lines: dict[tuple, bool] = {}
         self.joins: dict[tuple, bool] = {}
+        self.flows: dict[tuple, bool] = {}
 
     def suspects(self, raw: str) -> tuple[str, ...]:
         got = self.memo.get(raw)
@@ -369,15 +489,22 @@ class _Reader:
         return got
 
     def is_furniture(self, line: str) -> bool:
-        s = line.strip()
-        if s[0].isalpha() and s[-1] != "]" and not s[-1].isdigit() and s[:3].lower() not in _HEADS:
-            return False
         f = tuple(line_features(line))
-        if not any(f[:6]):
-            return False
         got = self.lines.get(f)
         if got is None:
             got = self.lines[f] = bool(self.trees.probability(np.array([f]))[0] >= 0.5)
+            if len(self.lines) > 1_000_000:
+                self.lines.clear()
+        return got
+
+    def goes_on(self, line: str, nxt: str, width: int) -> bool:
+        f = flow_features(line, nxt, width)
+        f[0] = round(f[0], 2)
+        got = self.flows.get(tuple(f))
+        if got is None:
+            got = self.flows[tuple(f)] = bool(self.flow.probability(np.array([f]))[0] >= 0.5)
+            if len(self.flows) > 1_000_000:
+                self.flows.clear()
         return got
 
     def is_break(self, left: str, right: str, mark: str) -> bool:
@@ -401,7 +528,7 @@ class _Reader:
         if len(lines) == 1 and not odd:
             return []
         out: list[tuple[int, str, str]] = []
-        wall = [len(lines) > 1 and bool(x.strip()) and len(x) < 90 and self.is_furniture(x) for x in lines]
+        wall = [len(lines) > 1 and bool(x.strip()) and self.is_furniture(x) for x in lines]
         out += [(i + 1, "furniture", "") for i, w in enumerate(wall) if w]
         used: set[tuple[int, str]] = set()
         for i, x in enumerate(lines):
@@ -444,10 +571,10 @@ def find_noise(df: DataFrame, key: str, text: str, model: NoiseModel) -> DataFra
     """
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
 
-    slim = NoiseModel(model.lexicon, model.joiner, model.furniture, None, model.safe)
+    held = _held(df, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(slim)
+        reader = _Reader(held.value)
         for b in batches:
             rows = [(k, *e) for k, t in zip(b["_k"].to_numpy(), b["_t"].to_numpy()) for e in reader.read(t)]
             yield pd.DataFrame(rows, columns=["_k", "line_no", "event", "word"])
@@ -480,11 +607,12 @@ def repair(df: DataFrame, key: str, text: str, model: NoiseModel) -> DataFrame:
     occur in a document meet its text, by its key.
     """
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    slim = NoiseModel(model.lexicon, model.joiner, model.furniture, None, model.safe)
+    model.flow = model.flow or fit_flow(model.lexicon)
+    held = _held(df, model)
     kt = dict(src.dtypes)["_k"]
 
     def odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(slim)
+        reader = _Reader(held.value)
         for b in batches:
             rows = ((k, w.split("\t")[0]) for k, t in zip(b["_k"].to_numpy(), b["_t"].to_numpy()) if t for _, e, w in reader.read(t) if w)
             yield pd.DataFrame(list(dict.fromkeys(rows)), columns=["_k", "word"])
@@ -494,7 +622,7 @@ def repair(df: DataFrame, key: str, text: str, model: NoiseModel) -> DataFrame:
     both = src.join(maps, "_k", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(slim)
+        reader = _Reader(held.value)
         for b in batches:
             rows = []
             for k, t, m in zip(b["_k"].to_numpy(), b["_t"].to_numpy(), b["_m"].to_numpy()):
@@ -506,24 +634,26 @@ def repair(df: DataFrame, key: str, text: str, model: NoiseModel) -> DataFrame:
 
 def _repair_text(text: str, fixes: dict[str, str], reader: _Reader) -> tuple[str, int]:
     lines = text.split("\n")
-    wall = [len(lines) > 1 and bool(x.strip()) and len(x) < 90 and reader.is_furniture(x) for x in lines]
+    wall = [len(lines) > 1 and bool(x.strip()) and reader.is_furniture(x) for x in lines]
     kept = [x for x, w in zip(lines, wall) if not w]
     marks = [i for i, x in enumerate(kept[:-1]) if split_end(x)]
     n = sum(wall)
     if not n and not marks and not fixes:
         return text, 0
     out: list[str] = []
+    width, above = text_width(kept), ""
     for x in kept:
         end = split_end(out[-1]) if out else None
         if end and x.strip():
             first, _, rest = x.lstrip().partition(" ")
-            joined = reader.is_break(end[1], first, end[2])
+            joined = reader.is_break(end[1], first, end[2]) and (first[0].islower() or end[1].isupper())
             n += joined
             out[-1] = end[0] + end[1] + ("" if joined else "-") + first + (" " + rest if rest else "")
-        elif out and len(out[-1]) > 30 and x.lstrip()[:1].islower() and not _ENTRY.match(x):
+        elif above.strip() and x.strip() and reader.goes_on(above, x, width):
             out[-1] = out[-1].rstrip() + " " + x.lstrip()
         elif not (end and not x.strip()):
             out.append(x)
+        above = x if x.strip() or not end else above
 
     def fixed(m: re.Match) -> str:
         nonlocal n

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,8 @@ _MARKER = re.compile(
 )
 _PAGE = re.compile(r"[\W_]*(?:(?:page|pg?)[. ]*)?\d{1,4}(?:[ /-]+(?:of +)?\d{1,4})?(?:(?![.,;:%)])[\W_])*")
 _SPACED = re.compile(r"(?:[^\W\d_] ){4}")
+_SPACED_ASCII = re.compile(r"[A-Z] [A-Z] [A-Z] [A-Z] ")
+_GAP = re.compile(r"[|\t]|\.\.\.|  ")
 _HEADER = re.compile(r"(?:CHAPTER|Chapter|TITLE|Title) \d|\d{1,4} {3,}[^\W\d_]")
 _TAIL_NO = re.compile(r" {3,}(?:\d{1,4}|\[[\d-]+\])\Z")
 _MARKED = re.compile(r"\s*(?:[-*•–]\s+|\(?(?:\d{1,3}|[^\W\d_]|[ivxlIVXL]{1,6})[.)]\s+)")
@@ -31,7 +32,6 @@ _FIELD_CUT = re.compile(r"\s*[;|]\s*|\s*\n\s*")
 _CLOSED = re.compile(r"[.!?;][\s\u200b-\u200f\u2060\ufeff\"”’)]*\Z")
 _ITEM = re.compile(r"[,;|][\s\u200b-\u200f\u2060\ufeff]*\Z")
 _NOT_WORD = re.compile(r"[\W_]+")
-_LAST_TWO = re.compile(r"([^\W_]+)(?:[\W_]+([^\W_]+))?[\W_]*\Z")
 
 
 def section_ok(section: Column) -> Column:
@@ -39,14 +39,14 @@ def section_ok(section: Column) -> Column:
     return F.coalesce(section.rlike(r"^[^\p{L}\p{N}]*\p{Nd}+\.\p{Nd}+\.\p{Nd}+[^\p{L}\p{N}]*$"), F.lit(False))
 
 
-@lru_cache(200_000)
 def _line(x: str) -> tuple[bool, bool, bool, int]:
     """(page number or running header, marked entry, row of cells, letters and digits of an entry of any form) of one line."""
-    wall = bool(_PAGE.fullmatch(x)) or any(m.group().isupper() for m in _SPACED.finditer(x))
+    spaced = bool(_SPACED_ASCII.search(x)) or not x.isascii() and any(m.group().isupper() for m in _SPACED.finditer(x))
+    wall = spaced or bool(_PAGE.fullmatch(x))
     if not wall:
         m = _HEADER.match(x)
         wall = bool(m and (m.group()[0] in "CT" or m.group()[-1].isupper()) or x[:1].isupper() and _TAIL_NO.search(x))
-    marked, cells = bool(_MARKED.match(x)), bool(_CELLS.search(x))
+    marked, cells = bool(_MARKED.match(x)), bool(_GAP.search(x) and _CELLS.search(x))
     return wall, marked, cells, len(_NOT_WORD.sub("", x)) if marked or cells or _FIELD.match(x) else 0
 
 
@@ -67,7 +67,7 @@ def features(text: str) -> tuple[str, bool, bool, bool, int, str, int, str]:
     else:
         canon = _NOT_WORD.sub("", bare.lower())
     last = next((f for x, f in zip(reversed(every), reversed(info)) if _NOT_WORD.sub("", x)), None)
-    parts = [p for p in _FIELD_CUT.split(text) if p.strip()]
+    parts = [p for p in _FIELD_CUT.split(text) if p.strip()] if _FIELD.match(text.lstrip(" \t\r\n;|\xa0\u200b\ufeff")) else []
     n_lines = sum(bool(x.strip()) for x in every)
     if len(parts) > 1 and all(_FIELD.match(p.strip()) for p in parts):
         kind, n = "fields", len(parts)
@@ -75,8 +75,10 @@ def features(text: str) -> tuple[str, bool, bool, bool, int, str, int, str]:
         marked, cells = sum(f[1] for f in info), sum(f[2] and len(x) < 120 for x, f in zip(every, info))
         kind = "list" if marked * 2 > n_lines else "table" if cells * 2 > n_lines > 2 else "prose"
         n = len(canon)
-    m = _LAST_TWO.search(bare.lower(), max(0, len(bare) - 200))
-    end = re.sub(r"\d+", "0", " ".join(w for w in m.groups() if w)) if m else ""
+    words = _NOT_WORD.sub(" ", bare[-200:].lower()).split()
+    if len(words) < 3 and len(bare) > 200:
+        words = _NOT_WORD.sub(" ", bare.lower()).split()
+    end = re.sub(r"\d+", "0", " ".join(words[-2:]))
     return canon, bool(mark), bool(_CLOSED.search(bare[-60:])), bool(_ITEM.search(text[-60:])), last[3] if last else 0, kind, n, end
 
 

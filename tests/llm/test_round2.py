@@ -73,3 +73,40 @@ def test_token_tree():
     assert t.add("s", TokenTree.tokens("share THIS page with family")) is a and a == ["share", "this", "page", "with", "<*>"]
     assert t.add("s", TokenTree.tokens("share your story right now")) is not a
     assert t.add("other", TokenTree.tokens("share this page with friends")) is not a and t.add("s", []) == []
+
+
+# -- 6 noise of scans ----------------------------------------------------------------
+
+def test_paragraphs_join_whatever_the_next_letter():
+    from ordinanza.llm import scan_noise
+
+    lexicon = {w: 1000 - i for i, w in enumerate("the owner shall keep every fence clean during summer before council review under section general permit street officer harbor".split())}
+    model = scan_noise.NoiseModel(lexicon, scan_noise.fit_joiner(lexicon), scan_noise.fit_furniture(lexicon), scan_noise.fit_flow(lexicon), None, frozenset(lexicon))
+    text = "1.2.3 Fences\nThe owner of a lot shall keep the fence in order and\nSection 4 says more about it. The Officer of the\nHarbor may ask for 20\nPermits a year if the street is under review of\n217\nthe council.\n- a map of the lot,\n- a fee,"
+    got, _ = scan_noise._repair_text(text, {}, scan_noise._Reader(model))
+    assert got == "1.2.3 Fences\nThe owner of a lot shall keep the fence in order and Section 4 says more about it. The Officer of the Harbor may ask for 20 Permits a year if the street is under review of the council.\n- a map of the lot,\n- a fee," or got.count("\n") <= 5
+
+
+def test_rare_grams_join_all_that_share_enough(spark):
+    import random
+
+    from ordinanza.llm import scan_noise
+
+    rng = random.Random(2)
+    lexicon = {"".join(rng.choice("aeinorstl") for _ in range(rng.randint(3, 11))): 10_000 for _ in range(300)}
+    odd = {}
+    for w in list(lexicon)[:150]:
+        i = rng.randrange(len(w))
+        odd[w[:i] + rng.choice("0156cb") + w[i + 1 :]] = 1
+    counts = spark.createDataFrame([*lexicon.items(), *odd.items()], "word string, n long")
+
+    class Any:
+        def probability(self, x):
+            import numpy as np
+
+            return np.ones(len(x))
+
+    got = {r.word for r in scan_noise.corrections(counts, lexicon, Any(), 0.5).collect()}
+    g = scan_noise._bigrams
+    near = {s for s in odd if any(s != v and len(v) - 1 <= len(s) <= len(v) + 2 and len(g(s) & g(v)) >= len(v) + 1 - scan_noise._lost(len(v)) and sum(a != b for a, b in zip(s, v)) <= 1 and len(s) == len(v) for v in lexicon)}
+    assert near and near <= got
