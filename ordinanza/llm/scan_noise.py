@@ -300,6 +300,9 @@ def fit_joiner(lexicon: dict[str, int], seed: int = 6) -> Boosted:
 
 
 _PAGE_NO = re.compile(r"^\W*(?:p(?:age|g)?\.?\s*)?(?:\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,2}-\d{1,3})[^\w.,;:%)]*$", re.I)
+_DIGIT = re.compile(r"\d")
+_LONE = re.compile(r" \S \S ")
+_BRACKETED = re.compile(r"\[\s*\d{1,4}\s*\]")
 _SPACED = re.compile(r"(?:\b[^\W\d_] ){3,}[^\W\d_]\b")
 _LEAD_NO = re.compile(r"^\s*\d{1,4}\s{2,}[^\W\d_]")
 _TAIL_NO = re.compile(r"\s{2,}(?:\d{1,4}|\[\d{1,3}[-.]\d{1,4}\])\s*$")
@@ -312,21 +315,41 @@ _KEYED = re.compile(r"^\s*[^\W\d_]+(?:[ /][^\W\d_]+){0,3}\s*(?::|\s=|\s[–—-]
 _OPEN_END = re.compile(r"[.!?;,:]\s*$")
 
 
-def line_features(line: str) -> list[float]:
+def line_marks(line: str) -> tuple[float, ...]:
+    """The six features of a line that text rarely has: page number, spaced letters, leading and trailing number, division, title of a code."""
+    s = line.strip()
+    digit = _DIGIT.search(s)
+    return (
+        float(bool(digit) and (bool(_PAGE_NO.match(s)) and not s.endswith((")", "]")) or bool(_BRACKETED.fullmatch(s)))),
+        float(bool(_LONE.search(s) or len(s) < 8) and bool(_SPACED.search(s))),
+        float(bool(digit) and bool(_LEAD_NO.match(line))),
+        float(bool(digit) and "  " in line and bool(_TAIL_NO.search(line))),
+        float(bool(digit) and bool(_DIVISION.match(s))),
+        float(bool(digit) and bool(_CODE_TITLE.match(s))),
+    )
+
+
+def line_features(line: str, marks: tuple[float, ...] | None = None) -> list[float]:
     s = line.strip()
     words = s.split()
     caps = sum(w[:1].isupper() or w in ("and", "of", "the") for w in words) / max(1, len(words))
-    return [
-        float(bool(_PAGE_NO.match(s)) and not s.endswith((")", "]")) or bool(re.fullmatch(r"\[\s*\d{1,4}\s*\]", s))),
-        float(bool(_SPACED.search(s))),
-        float(bool(_LEAD_NO.match(line))),
-        float(bool(_TAIL_NO.search(line))),
-        float(bool(_DIVISION.match(s))),
-        float(bool(_CODE_TITLE.match(s))),
-        caps,
-        float(bool(_OPEN_END.search(s))),
-        min(len(words), 20),
-    ]
+    return [*(line_marks(line) if marks is None else marks), caps, float(bool(_OPEN_END.search(s))), min(len(words), 20)]
+
+
+def text_without_marks(trees: Boosted) -> bool:
+    """Whether the trees call no line furniture that has none of the six marks: they are asked about every
+    combination of the other features that their splits can tell apart."""
+    cuts = sorted({c for t in trees.forest for j, c in _splits(t) if j == 6})
+    caps = [0.0, *(x for c in cuts for x in (c, c + 1e-9)), 1.0]
+    grid = np.array([[0, 0, 0, 0, 0, 0, x, o, n] for x in caps for o in (0, 1) for n in range(21)], float)
+    return bool((trees.probability(grid) < 0.5).all())
+
+
+def _splits(tree) -> Iterator[tuple[int, float]]:
+    if isinstance(tree, tuple):
+        yield tree[0], tree[1]
+        yield from _splits(tree[2])
+        yield from _splits(tree[3])
 
 
 def fit_furniture(lexicon: dict[str, int], seed: int = 8) -> Boosted:
@@ -477,6 +500,7 @@ class _Reader:
         self.lines: dict[tuple, bool] = {}
         self.joins: dict[tuple, bool] = {}
         self.flows: dict[tuple, bool] = {}
+        self.plain = text_without_marks(m.furniture)
 
     def suspects(self, raw: str) -> tuple[str, ...]:
         got = self.memo.get(raw)
@@ -489,7 +513,10 @@ class _Reader:
         return got
 
     def is_furniture(self, line: str) -> bool:
-        f = tuple(line_features(line))
+        marks = line_marks(line)
+        if self.plain and not any(marks):
+            return False
+        f = tuple(line_features(line, marks))
         got = self.lines.get(f)
         if got is None:
             got = self.lines[f] = bool(self.trees.probability(np.array([f]))[0] >= 0.5)
