@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,6 +109,17 @@ _STOP = re.compile(r"[.!?;](?=[\s\u200b-\u200f\u2060\ufeff\"”’)])")
 _DIGITS = re.compile(r"\d+")
 
 
+_NUL = "\x00"
+_NOT_KEPT = re.compile(r"[^\w\x00]+|_+")
+_NULS = re.compile(r"\s*\x00[\s\x00]*")
+
+
+def closing_words(text: str) -> list[str]:
+    """The words of a text in lower case, numbers as 0; one that closes a sentence ends in a zero character."""
+    t = _STOP.sub(_NUL, _DIGITS.sub("0", text.lower()) + " ")
+    return _NULS.sub(_NUL + " ", _NOT_KEPT.sub(" ", t)).strip(" ").split()
+
+
 def _closing_shares(texts: DataFrame, text: str, ends: DataFrame) -> DataFrame:
     """(_end, _share): of the places of a word pair in the texts, the share that closes a sentence.
 
@@ -116,25 +128,24 @@ def _closing_shares(texts: DataFrame, text: str, ends: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
+        seen: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["_end", "_n", "_last"])
+            sums: dict[str, list[int]] = {}
+            for (v, w), n in seen.items():
+                if v[-1] != _NUL:
+                    last = w[-1] == _NUL
+                    got = sums.setdefault(f"{v} {w[:-1] if last else w}", [0, 0])
+                    got[0] += n
+                    got[1] += n * last
             seen.clear()
-            return out
+            return pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["_end", "_n", "_last"])
 
         for b in batches:
             for t in b["t"]:
-                spans = _STOP.split(_DIGITS.sub("0", t.lower()) + " ")
-                for i, span in enumerate(spans):
-                    ws = _NOT_WORD.sub(" ", span).split()
-                    closed = i < len(spans) - 1
-                    for j in range(len(ws) - 1):
-                        last = j == len(ws) - 2
-                        if not last or closed:
-                            got = seen.setdefault(f"{ws[j]} {ws[j + 1]}", [0, 0])
-                            got[0] += 1
-                            got[1] += last
+                ws = closing_words(t)
+                n = len(ws) if ws and ws[-1][-1] == _NUL else len(ws) - 1
+                seen.update(zip(ws[: max(0, n - 1)], ws[1 : max(0, n)]))
                 if len(seen) > 50_000:
                     yield flush()
         yield flush()
