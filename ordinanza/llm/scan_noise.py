@@ -309,7 +309,7 @@ _TAIL_NO = re.compile(r"\s{2,}(?:\d{1,4}|\[\d{1,3}[-.]\d{1,4}\])\s*$")
 _DIVISION = re.compile(r"^\s*(?:chapter|title|part|article|division)\s+\d{1,3}(?:\.\d{1,3})?\b", re.I)
 _CODE_TITLE = re.compile(r"^\s*\d{1,3}\.\d{1,3}(?!\.?\d)\s")
 _ENTRY = re.compile(r"\s*(?:[-*•]|\(?\w{1,4}[.)])\s")
-_COLUMNS = re.compile(r"\S\s*(?:\||\t|\.{4,}| {3,})\s*\S")
+_COLUMNS = re.compile(r"\S\s*(?:\s\|\s|\t|\.{4,}| {3,})\s*\S")
 _HEADED = re.compile(r"^[\W_]*(?:section\s+)?\d{1,3}\.\d{1,3}\.\d{1,4}\b", re.I)
 _KEYED = re.compile(r"^\s*[^\W\d_]+(?:[ /][^\W\d_]+){0,3}\s*(?::|\s=|\s[–—-])\s*\S")
 _OPEN_END = re.compile(r"[.!?;,:]\s*$")
@@ -408,9 +408,14 @@ def fit_flow(lexicon: dict[str, int], seed: int = 9) -> Boosted:
     words = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0])) if w.isalpha()][:TRAIN_WORDS] or ["word", "line", "text"]
     phrase = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
 
+    number = lambda: f"{rng.randint(1, 20)}.{rng.randint(1, 50):02d}.{rng.randint(1, 999):03d}"
+
     def sentence() -> str:
-        x = phrase(6, 22).capitalize()
-        return (f"{x} {rng.randint(2, 999)} {phrase(1, 6)}" if rng.random() < 0.3 else x) + rng.choice("....;?")
+        ws = phrase(6, 22).capitalize().split()
+        ws = [w.capitalize() if rng.random() < 0.08 else w for w in ws]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            ws.insert(rng.randint(1, len(ws)), rng.choice([str(rng.randint(2, 999)), f"Section {number()}"]))
+        return " ".join(ws) + rng.choice("....;?")
 
     def wrapped(text: str, width: int) -> list[str]:
         out, cur = [], ""
@@ -423,15 +428,19 @@ def fit_flow(lexicon: dict[str, int], seed: int = 9) -> Boosted:
         return [*out, cur]
 
     xs, ys = [], []
-    for _ in range(700):
+    for _ in range(900):
         width = rng.randint(40, 100)
         page: list[tuple[str, bool]] = []  # (line, goes on into the next)
         for _ in range(rng.randint(1, 4)):
             kind = rng.random()
             if kind < 0.3:
-                page.append((f"{rng.randint(1, 20)}.{rng.randint(1, 50):02d}.{rng.randint(1, 999):03d} {phrase(2, 6).title()}", False))
+                head = f"{number()} {phrase(2, 6).title()}" + rng.choice(["", "", f" (Ord. 11-{rng.randint(1, 9999):04d} § 2)", f" — Ordinance 11-{rng.randint(1, 9999):04d}"])
+                ls = wrapped(head, width) if rng.random() < 0.5 else [head]
+                page += [(x, i < len(ls) - 1) for i, x in enumerate(ls)]
             if kind < 0.65:
-                ls = wrapped(" ".join(sentence() for _ in range(rng.randint(2, 6))), width)
+                # some paragraphs are not wrapped at all, or at another width
+                own = width if rng.random() < 0.6 else rng.choice([30, 50, 70, 5000])
+                ls = wrapped(" ".join(sentence() for _ in range(rng.randint(2, 6))), own)
                 page += [(x, i < len(ls) - 1) for i, x in enumerate(ls)]
             elif kind < 0.8:
                 page.append((phrase(2, 6).capitalize() + ":", False))
