@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import scores, text
 from ..functions import lexicon as L
-from ..operators import answer, chunks, context, index, models, search, sections, selfquery
+from ..operators import answer, chunks, context, index, ivf, models, search, sections, selfquery
 from ..session import checkpoint_folder, cut
 
 INLINE_MIN, LINES_MIN = 100, 50
@@ -244,6 +244,14 @@ def knn(s, d):
     return search.knn(_vector_queries(s, d), e, query_id="query_id", item_id="vec_id", query_vector="query_vector", item_vector="embedding", k=12)
 
 
+def knn_approx(s, d):
+    """The queries of ``knn`` by an inverted index of all rows; as many cells are probed as 95 % recall takes."""
+    e = _t(s, d, "embeddings")
+    c = ivf.fit_centroids(e, "vec_id", "embedding")
+    built = cut(ivf.build(e, "embedding", c))
+    return ivf.search(_vector_queries(s, d), built, c, query_id="query_id", item_id="vec_id", query_vector="query_vector", item_vector="embedding", k=12, probes=ivf.probes_for(e, "vec_id", "embedding", c, 12))
+
+
 def knn_single(s, d):
     e = _t(s, d, "embeddings")
     q = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -402,7 +410,7 @@ NAMES = {
         page_ranges, page_elements, sections_inline, sections_inline_valid, sections_lines, sections_lines_valid, section_counts, fallback_label,
         fallback_chunks, fallback_sources, parent_child, parent_lookup, section_refs, section_refs_all, search_terms, topic_flags, needs_more, needs_more_strict,
         section_bonus, quality_bonus, word_match, relevance, expand_queries, topic_searches, quick_terms, extra_terms, dedup_terms, index_scan, index_stats,
-        documents_projection, index_describe, populated, batches, batch_report, knn, knn_single, batch_search, smart_search, search_legacy, self_query,
+        documents_projection, index_describe, populated, batches, batch_report, knn, knn_approx, knn_single, batch_search, smart_search, search_legacy, self_query,
         debug_search, index_verify, format_context, answer_prompt, answers, embed, fallback_merge, second_pass_merge, ask_sql, ask, load_batches, search_texts, clock, preview, highlight, strip_ansi,
     )
 } | {"chunks": chunk_rows, "wrap": wrapped}

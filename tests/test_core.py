@@ -318,3 +318,27 @@ def test_streaming(spark, tmp_path):
     q = streaming.question_stream(spark, str(tmp_path / "in"))
     streaming.answer_stream(q, lambda b: b.withColumn("answer", F.lit("yes")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.question for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["can I?"]
+
+
+def test_inverted_index(spark):
+    from ordinanza.operators import ivf
+
+    rng = np.random.default_rng(3)
+    hubs = rng.normal(size=(12, 16)) * 3
+    v = hubs[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "i long, v array<float>").repartition(5)
+    q = df.where("i % 20 = 0").select(F.col("i").alias("q"), F.col("v").alias("w"))
+    c = ivf.fit_centroids(df, "i", "v")
+    built = ivf.build(df, "v", c)
+    assert built.count() == 1500
+    how = dict(query_id="q", item_id="i", query_vector="w", item_vector="v", k=8)
+    rows = lambda d: {(r.q, r["rank"]): (r.i, r.dist) for r in d.collect()}
+    exact = rows(search.knn(q, df, **how))
+    assert rows(ivf.search(q, built, c, probes=len(c), query_block=20, item_block=40, **how)) == exact
+    probes = ivf.probes_for(df, "i", "v", c, 8)
+    assert 1 <= probes < len(c)
+    some = rows(ivf.search(q, built, c, probes=probes, **how))
+    hit = {(k[0], x[0]) for k, x in some.items()} & {(k[0], x[0]) for k, x in exact.items()}
+    assert len(hit) / len(exact) >= 0.9
+    none = df.where("i < 0")
+    assert ivf.search(q, ivf.build(none, "v", ivf.fit_centroids(none, "i", "v")), ivf.fit_centroids(none, "i", "v"), probes=3, **how).count() == 0
