@@ -84,7 +84,7 @@ def collapse(df: DataFrame, key: str, columns: list[str], free_order: list[str]
     and the way back from a group to its rows is salted.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    src = df.select(F.col(key).alias("_key"), *[F.col(c).alias(n) for c, n in zip(columns, names)])
+    src = df.select(F.col(key).alias("_key"), *[F.col(c).cast("string").alias(n) for c, n in zip(columns, names)])
     free = [c in free_order for c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

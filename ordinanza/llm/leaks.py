@@ -82,7 +82,7 @@ def read_items(items: DataFrame, item_id: str, text: str) -> Items:
     size = x.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"items of {size} characters; read them by item_blocks")
-    rows = sorted(x.collect(), key=lambda r: (r.i, r.t))
+    rows = sorted(x.collect(), key=lambda r: (r.i is not None, r.i, r.t) if r.i is not None else (False, r.t))
     return Items([r.i for r in rows], [r.t for r in rows])
 
 

@@ -224,7 +224,7 @@ def fit_lines(df: DataFrame, key: str, text: str, labels: DataFrame, kind: str =
             yield pd.DataFrame({"k": b["_k"], "kind": b["_kind"], "obs": [[int("".join(map(str, observe(x)))) for x in units(t)[:MAX_LABELLED_LINES]] for t in b["_t"]]})
 
     kt = dict(j.dtypes)["_k"]
-    rows = sorted(j.mapInPandas(codes, f"k {kt}, kind string, obs array<long>").collect(), key=lambda r: (r.k, r.kind))
+    rows = sorted(j.mapInPandas(codes, f"k {kt}, kind string, obs array<long>").collect(), key=lambda r: (str(r.k), r.kind, list(r.obs)))
     return LineModel([(r.kind, [tuple(map(int, str(o).zfill(len(SIZES)))) for o in r.obs]) for r in rows])
 
 

@@ -110,3 +110,28 @@ def test_rare_grams_join_all_that_share_enough(spark):
     g = scan_noise._bigrams
     near = {s for s in odd if any(s != v and len(v) - 1 <= len(s) <= len(v) + 2 and len(g(s) & g(v)) >= len(v) + 1 - scan_noise._lost(len(v)) and sum(a != b for a, b in zip(s, v)) <= 1 and len(s) == len(v) for v in lexicon)}
     assert near and near <= got
+
+
+# -- nulls, ties and clashing names in every operator ----------------------------------
+
+def test_null_keys_and_clashing_columns(spark):
+    from ordinanza.llm import copies, leaks, mixing, quality, scan_noise, site_lines, splitting, survivors
+
+    t = "The owner of the lot shall keep every fence in good order before the board may look at it again this year."
+    rows = [(None, t, "a", None, 1), (2, None, None, 1, None), (None, "", "a", 1, 2), (4, t, "a", 1, 2), (4, t.upper(), None, 1, 2)] * 3
+    df = spark.createDataFrame(rows, "k long, t string, source string, g long, n long")
+    for name in ("_k", "_key", "_t", "_d", "line_no", "kind", "piece", "n_copies", "copy", "slot", "_source", "_line", "word", "item_id", "whole"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert splitting.split_oversized(df, "k", "t", 50, 10).where("k is null and length(piece) > 0").count() > 0
+    assert survivors.whole_content(df, "k", "g", "t").count() > 0
+    assert site_lines.site_lines(df, "k", "source", "t").count() >= 0 and site_lines.site_templates(df, "k", "source", "t").count() >= 0
+    got = copies.collapse(df, "k", ["t", "n"]).collect()
+    assert len(got) == len(rows)
+    assert quality.label_documents(df, "k", "t", quality.LineModel([])).count() == len(rows)
+    m = scan_noise.fit([(df, "t")])
+    assert scan_noise.find_noise(df, "k", "t", m).count() == 0 and scan_noise.repair(df.select("k", "t").distinct(), "k", "t", m).count() == 5
+    items = spark.createDataFrame([(None, t), (2, t), (3, None)], "i long, x string")
+    assert {r.item_id for r in leaks.leaks(df, "k", "t", items, "i", "x").collect()} == {None, 2}
+    sched, rep = mixing.mix(df.withColumnRenamed("n", "n_tokens"), spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeat int"), "k")
+    assert sched.count() > 0 and rep.count() == 1
+    assert pii.find_pii(df, "k", "t").count() == 0 and pii.replace_pii(df, "k", "t").count() == len(rows)
