@@ -194,6 +194,14 @@ def index_scan(s, d):
     return index.read_index(s, at, "larkmoor-code").select("doc_id", "section", "content")
 
 
+FILTER = '{"or": [{"gte": ["section", "20."]}, {"and": [{"in": ["source", ["larkmoor-code", "saltmere-code"]]}, {"not": {"eq": ["section", "7.04.010"]}}]}]}'
+
+
+def filter_scan(s, d):
+    """Documents that a structured filter, as a model writes it, lets through; it reaches the scan as a predicate."""
+    return _t(s, d, "documents").where(selfquery.compile_filter(FILTER)).select("doc_id", "section", "source")
+
+
 def load_batches(s, d):
     """Parents and embedded children written to a store, with the outcome of every batch of 50."""
     return index.load_index(_t(s, d, "parent_docs"), _folder(s), "parents", models.embed, key="parent_key", text="page_content").drop("n_chunks")
@@ -411,6 +419,6 @@ NAMES = {
         fallback_chunks, fallback_sources, parent_child, parent_lookup, section_refs, section_refs_all, search_terms, topic_flags, needs_more, needs_more_strict,
         section_bonus, quality_bonus, word_match, relevance, expand_queries, topic_searches, quick_terms, extra_terms, dedup_terms, index_scan, index_stats,
         documents_projection, index_describe, populated, batches, batch_report, knn, knn_approx, knn_single, batch_search, smart_search, search_legacy, self_query,
-        debug_search, index_verify, format_context, answer_prompt, answers, embed, fallback_merge, second_pass_merge, ask_sql, ask, load_batches, search_texts, clock, preview, highlight, strip_ansi,
+        debug_search, index_verify, format_context, answer_prompt, answers, embed, fallback_merge, second_pass_merge, ask_sql, ask, filter_scan, load_batches, search_texts, clock, preview, highlight, strip_ansi,
     )
 } | {"chunks": chunk_rows, "wrap": wrapped}

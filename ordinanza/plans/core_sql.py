@@ -207,6 +207,7 @@ FROM parent_docs WHERE page_content IS NOT NULL""",
     "fallback_sources": LINES + """, n AS (SELECT source, count(*) FILTER (length(content) > 50) AS n_valid FROM secs GROUP BY ALL),
 e AS (SELECT DISTINCT source FROM ocr_elements WHERE source IS NOT NULL AND text IS NOT NULL)
 SELECT e.source, coalesce(n_valid, 0) AS n_valid, coalesce(n_valid, 0) < 10 AS falls_back FROM e LEFT JOIN n ON e.source = n.source""",
+    "filter_scan": "SELECT doc_id, section, source FROM documents WHERE section >= '20.' OR (source IN ('larkmoor-code', 'saltmere-code') AND NOT section = '7.04.010')",
     "load_batches": """SELECT batch_no, count(*) AS n_docs, count(*) AS n_written, TRUE AS ok, 'Batch ' || (batch_no + 1) || ' (' || count(*) || ' docs) added' AS message FROM
 (SELECT ((row_number() OVER (ORDER BY parent_key) - 1) // 50)::BIGINT AS batch_no FROM parent_docs WHERE page_content IS NOT NULL) GROUP BY batch_no""",
     "clock": "SELECT question_id, strftime(asked_at, '%H:%M:%S') AS asked FROM questions",
