@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 MIN_ROWS, MIN_SHARE = 5, 0.02
-FLUSH, MAX_LEAF = 100_000, 10_000
+FLUSH = 100_000
 MAX_BROADCAST_LEAVES = 200_000
 SLOT = "<*>"
 
@@ -21,6 +23,12 @@ def squeeze(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[\s\p{Z}\p{Cf}\p{Cc}\p{Nd}]+", "")
 
 
+def tidy(line: Column) -> Column:
+    """A line without invisible characters, its tokens parted by single spaces as Python's split parts them."""
+    seen = F.regexp_replace(line, r"[\p{Cf}\p{Cc}&&[^\s\x1c-\x1f\x85]]+", "")
+    return F.trim(F.regexp_replace(seen, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+
+
 def _lines(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """(source, key, line, line_no, sq): the lines that have a letter, as they are and squeezed."""
     d = df.where(F.col(source).isNotNull() & F.col(text).isNotNull())
@@ -40,11 +48,11 @@ class TokenTree:
 
     A line joins the template of its leaf with which most of its tokens agree,
     if that share, slots counting half, is at least ``alike``; slots open where they differ.  Tokens with
-    a digit are slots from the start.
+    a digit are slots from the start.  A leaf holds as many templates as its lines need.
     """
 
     def __init__(self, alike: float = 0.6):
-        self.alike, self.leaves = alike, {}
+        self.alike, self.leaves, self.templates = alike, {}, []
 
     @staticmethod
     def tokens(line: str) -> list[str]:
@@ -52,32 +60,84 @@ class TokenTree:
 
     def add(self, source, toks: list[str]) -> list:
         """The template, a list of tokens that later lines may open further."""
-        leaf = self.leaves.setdefault((source, len(toks), toks[0] if toks else ""), ([], {}))
-        templates, places = leaf
-        votes: dict[int, int] = {}
-        for i, t in enumerate(toks):
-            for n in places.get((i, t), ()):
-                votes[n] = votes.get(n, 0) + 1
-        best, score = None, 0.0
-        for n, v in votes.items():
-            x = templates[n]
-            got = sum(1.0 if a == b and a != SLOT else 0.5 if a == SLOT else 0.0 for a, b in zip(x, toks)) / len(toks)
-            if got > score or got == score and best is not None and n < best:
-                best, score = n, got
-        if best is None or (score < self.alike and templates[best] != toks):
-            if len(templates) >= MAX_LEAF and templates:
-                return list(toks)
-            templates.append(list(toks))
-            for i, t in enumerate(toks):
-                places.setdefault((i, t), set()).add(len(templates) - 1)
-            return templates[-1]
-        x = templates[best]
-        for i, t in enumerate(toks):
-            if x[i] != t and x[i] != SLOT:
-                places[i, x[i]].discard(best)
+        return self.templates[self.number(source, toks)]
+
+    def number(self, source, toks: list[str]) -> int:
+        """The number of the template, which stays when slots open."""
+        places, by_slots, equal = self.leaves.setdefault((source, len(toks), toks[0] if toks else ""), ({}, {}, {}))
+        slots = toks.count(SLOT)
+        if not toks or (len(toks) - slots / 2) / len(toks) < self.alike:
+            # so many slots that only an equal line can be alike
+            n = equal.setdefault(tuple(toks), len(self.templates))
+            if n == len(self.templates):
+                self.templates.append([sys.intern(t) for t in toks])
+            return n
+        n = self._best(places, by_slots, toks)
+        if n is None:
+            n = len(self.templates)
+            self.templates.append([sys.intern(t) for t in toks])
+            self._index(places, by_slots, n, slots)
+            return n
+        x = self.templates[n]
+        differ = [i for i, (a, b) in enumerate(zip(x, toks)) if a != b and a != SLOT]
+        if differ:
+            slots = x.count(SLOT)
+            self._index(places, by_slots, n, slots, gone=True)
+            for i in differ:
                 x[i] = SLOT
-                places.setdefault((i, SLOT), set()).add(best)
-        return x
+            self._index(places, by_slots, n, slots + len(differ))
+        return n
+
+    def _index(self, places: dict, by_slots: dict, n: int, slots: int, gone: bool = False) -> None:
+        """Enter a template with its number of slots, or take it out; a place with one template holds its bare number."""
+        if gone:
+            by_slots[slots].discard(n)
+        else:
+            by_slots.setdefault(slots, set()).add(n)
+        for i, t in enumerate(self.templates[n]):
+            if i and t != SLOT:
+                at = (slots, i, t)
+                had = places.get(at)
+                if gone:
+                    if isinstance(had, set) and len(had) > 1:
+                        had.discard(n)
+                    else:
+                        del places[at]
+                elif had is None:
+                    places[at] = n
+                elif isinstance(had, set):
+                    had.add(n)
+                else:
+                    places[at] = {had, n}
+
+    def _best(self, places: dict, by_slots: dict, toks: list[str]) -> int | None:
+        """The most alike template, the first of equals.
+
+        All templates of a leaf agree in the first token.  Of those with a given number of slots, one that is
+        alike enough agrees in at least ``least`` other places; so it shares one of all but ``least`` - 1 of the
+        line's places, or two of all but ``least`` - 2, and the rarest places find it.
+        """
+        n, first = len(toks), toks[0] != SLOT
+        literal = [(i, t) for i, t in enumerate(toks) if i and t != SLOT]
+        best, score = None, self.alike
+        for slots, held in by_slots.items():
+            least = math.ceil(score * n - slots / 2 - first - 1e-9)
+            if not held or least > min(len(literal), n - slots - first):
+                continue
+            if least <= 0:
+                some = held
+            else:
+                sets = sorted((x if isinstance(x, set) else {x} for x in (places.get((slots, i, t)) for i, t in literal) if x is not None), key=len)
+                if len(sets) < least:
+                    continue
+                # of the sets that are there, as many may be missed as of all places
+                sets = sets[: len(sets) - least + min(least, 2)]
+                some = set().union(*sets) if least == 1 else set().union(*(x & y for i, x in enumerate(sets) for y in sets[i + 1 :]))
+            for c in some:
+                got = sum(1.0 if a == b and a != SLOT else 0.5 if a == SLOT else 0.0 for a, b in zip(self.templates[c], toks)) / n
+                if got > score or got == score and (best is None or c < best):
+                    best, score = c, got
+        return best
 
 
 def parse_templates(lines: DataFrame, source: str, line: str, n: str, alike: float = 0.6) -> DataFrame:
@@ -86,8 +146,8 @@ def parse_templates(lines: DataFrame, source: str, line: str, n: str, alike: flo
     Every task parses its own lines into trees, FLUSH lines at a time; the
     templates of all trees, not the lines, are then brought together by leaf,
     the most frequent first, and parsed once more, which merges equal and
-    similar ones.  A leaf holds at most MAX_LEAF templates at a time; a line or
-    template beyond that stands for itself.
+    similar ones.  A task holds all templates of one leaf; what became of each
+    is told when the leaf is through, with all its slots.
     """
     cols = [c for c in lines.columns]
     fields = ", ".join(f"`{c}` {t}" for c, t in lines.dtypes)
@@ -114,25 +174,37 @@ def parse_templates(lines: DataFrame, source: str, line: str, n: str, alike: flo
     every = parsed.groupBy(source, "_local").agg(F.sum(n).alias("_sum")).withColumn("_leaf", leaf)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, tree, held = None, None, []
+        # rows with _local name the number of its template, rows without it are the templates
+        columns, last, tree, about = ["_s", "_leaf", "_no", "_local", "template", "covered"], None, TokenTree(alike), []
 
         def done() -> Iterator[pd.DataFrame]:
-            for lo in range(0, len(held), 5000):
-                yield pd.DataFrame([(s, x, " ".join(t), k) for s, x, t, k in held[lo : lo + 5000]], columns=["_s", "_local", "template", "_sum"])
+            covered: dict = {}
+            for (s, k), t in zip(about, tree.templates):
+                name = s, " ".join(t)
+                covered[name] = covered.get(name, 0) + k
+            for lo in range(0, len(about), 5000):
+                names = [(s, " ".join(t)) for (s, _), t in zip(about[lo : lo + 5000], tree.templates[lo : lo + 5000])]
+                yield pd.DataFrame([(s, last, lo + i, None, t, covered[s, t]) for i, (s, t) in enumerate(names)], columns=columns)
 
         for b in batches:
+            rows = []
             for s, x, k, at in zip(b[source], b["_local"], b["_sum"], b["_leaf"]):
-                if at != last or len(held) > FLUSH:
+                if at != last:
                     yield from done()
-                    held, tree, last = [], tree if at == last else TokenTree(alike), at
-                held.append((s, x, tree.add(s, x.split(" ")), k))
+                    tree, last, about = TokenTree(alike), at, []
+                no = tree.number(s, x.split(" "))
+                if no == len(about):
+                    about.append([s, 0])
+                about[no][1] += k
+                rows.append((s, at, no, x, None, 0))
+            yield pd.DataFrame(rows, columns=columns)
         yield from done()
 
     st = dict(lines.dtypes)[source]
-    merged = every.repartition(F.col("_leaf")).sortWithinPartitions("_leaf", F.desc("_sum"), "_local").mapInPandas(merge, f"_s {st}, _local string, template string, _sum long")
+    merged = every.repartition(F.col("_leaf")).sortWithinPartitions("_leaf", F.desc("_sum"), "_local").mapInPandas(merge, f"_s {st}, _leaf long, _no long, _local string, template string, covered long")
     merged = cut(merged)
-    covered = merged.groupBy("_s", "template").agg(F.sum("_sum").alias("covered"))
-    names = merged.drop("_sum").join(covered, ["_s", "template"]).withColumnRenamed("_s", source)
+    ends = merged.where("_local IS NULL").drop("_local")
+    names = merged.where("_local IS NOT NULL").drop("template", "covered").join(ends, ["_s", "_leaf", "_no"]).drop("_leaf", "_no").withColumnRenamed("_s", source)
     return parsed.join(names, [source, "_local"]).select(*cols, "template", "covered")
 
 
@@ -184,16 +256,28 @@ def site_templates(df: DataFrame, key: str, source: str, text: str, *, min_rows:
     """(source, template, n_rows, n_lines): templates that cover many rows of a source, <*> where their lines differ.
 
     Unlike ``site_lines``, lines with a varying word, such as bylines, form one
-    template.  Leaves of (number of tokens, first token) below the threshold are
-    pruned first; n_rows adds up, over the distinct lines of the template, the
-    rows that have them, n_lines counts those lines.
+    template.  Lines that are the same but for white space, digits and case are
+    one line, in its most frequent leaf of (number of tokens, first token);
+    leaves whose lines all together stay below the threshold are pruned.
+    n_rows adds up, over the distinct lines of the template, the rows that have
+    them, n_lines counts those lines.
     """
     need = _needed(df, source, text, min_rows, min_share)
-    toks = F.split(F.trim(F.regexp_replace("_line", r"[\s\p{Z}\p{Cf}]+", " ")), " ")
+    lines = _lines(df, key, source, text).withColumn("_line", tidy(F.col("_line")))
+    toks = F.split("_line", " ")
     first = F.lower(toks[0])
-    kept = _frequent(_lines(df, key, source, text), need, F.xxhash64(F.size(toks), F.when(first.rlike(r"\p{Nd}"), F.lit(SLOT)).otherwise(first)))
-    once = kept.groupBy("_source", F.xxhash64("_sq").alias("_t1"), "_key").agg(F.min("_line").alias("_line"))
-    same = once.groupBy("_source", "_t1").agg(F.count("*").alias("_c"), F.min("_line").alias("_line"))
+    # any number sign: at least what TokenTree takes for a digit
+    leaf = F.xxhash64(F.size(toks), F.when(first.rlike(r"\p{N}"), F.lit(SLOT)).otherwise(first))
+    lines = lines.select("_source", "_key", "_line", leaf.alias("_leaf"), F.xxhash64("_sq").alias("_t1"), F.xxhash64(F.lit(1), "_sq").alias("_t2"))
+    line = ["_source", "_t1", "_t2"]
+    spelt = lines.groupBy(*line, "_leaf").agg(F.count("*").alias("_c"))
+    # a line counts whole in one leaf before leaves are pruned, so no spelling of it is lost
+    homes = cut(spelt.groupBy(*line).agg(F.sum("_c").alias("_c"), F.max(F.struct("_c", "_leaf"))["_leaf"].alias("_home")))
+    tree = homes.groupBy("_source", "_home").agg(F.sum("_c").alias("_n")).join(need, "_source").where("_n >= _need").select("_source", "_home")
+    homes = cut(homes.drop("_c").join(tree, ["_source", "_home"]))
+    kept = lines.join(F.broadcast(homes) if homes.count() <= MAX_BROADCAST_LEAVES else homes, line)
+    once = kept.groupBy(*line, "_key").agg(F.min(F.when(F.col("_leaf") == F.col("_home"), F.col("_line"))).alias("_line"))
+    same = once.groupBy(*line).agg(F.count("*").alias("_c"), F.min("_line").alias("_line"))
     x = parse_templates(same, "_source", "_line", "_c", alike).join(need, "_source").where("covered >= _need")
     return x.groupBy(F.col("_source").alias(source), "template").agg(F.max("covered").alias("n_rows"), F.count("*").alias("n_lines"))
 

@@ -75,6 +75,66 @@ def test_token_tree():
     assert t.add("other", TokenTree.tokens("share this page with friends")) is not a and t.add("s", []) == []
 
 
+def _words(n):
+    """n different words of five letters, the last a q."""
+    return ["".join(chr(97 + i // 26**p % 26) for p in range(4)) + "q" for i in range(n)]
+
+
+def test_template_behind_a_full_leaf(spark):
+    from ordinanza.llm import site_lines
+
+    fill = [("a", f"note {w} {w}", 2) for w in _words(10_000)]
+    late = [("a", f"note from {w}", 1) for w in ("anna", "boris", "carla", "dmitri", "edith", "farid")]
+    df = spark.createDataFrame(fill + late, "s string, line string, n long").coalesce(1)
+    got = site_lines.parse_templates(df, "s", "line", "n").where("line LIKE 'note from %'").select("template", "covered").distinct().collect()
+    assert [tuple(r) for r in got] == [("note from <*>", 6)]
+
+
+def test_templates_of_a_source_with_many_lines_in_one_leaf(spark):
+    from ordinanza.llm import site_lines
+
+    fill, kinds = _words(300 * 100), [f"{w}y" for w in _words(30)]
+    rows = [[f"note {a} {a}" for a in fill[i * 100 : i * 100 + 100]] for i in range(300)]
+    for j, kind in enumerate(kinds):
+        for m in range(6):
+            rows[j * 7 + m * 11].append(f"note {kind} {'abcdef'[m]}{kind}z")
+    df = spark.createDataFrame([(i, "a", "\n".join(r)) for i, r in enumerate(rows)], "k int, source string, t string")
+    got = {(r.template, r.n_rows, r.n_lines) for r in site_lines.site_templates(df, "k", "source", "t").collect()}
+    assert got == {(f"note {kind} <*>", 6, 6) for kind in kinds}
+
+
+def test_templates_of_a_line_spelt_in_several_leaves(spark):
+    from ordinanza.llm import site_lines
+
+    spelt = ["Share this page"] * 4 + ["Share thispage", "Sharethis page", "7 Share this\u200b\u00a0page", "x\u00b2 of one", "x\u00b3 of one", "x\u00b2 of one", "x\u00b3 of one", "x\u00b9 of one"]
+    df = spark.createDataFrame([(i, "a", x) for i, x in enumerate(spelt)], "k int, source string, t string")
+    got = {tuple(r) for r in site_lines.site_templates(df, "k", "source", "t").collect()}
+    assert got == {("a", "share this page", 7, 1), ("a", "<*> of one", 5, 3)}
+
+
+def test_token_tree_against_all_templates():
+    import random
+
+    from ordinanza.llm.site_lines import SLOT, TokenTree
+
+    def share(x, toks):
+        return sum(1.0 if a == b and a != SLOT else 0.5 if a == SLOT else 0.0 for a, b in zip(x, toks)) / len(toks)
+
+    rnd = random.Random(5)
+    for alike in (0.3, 0.6, 0.6, 0.6, 0.8, 1.0):
+        for words, n in ((3, 4), (6, 5), (12, 7), (4, 9)):
+            tree, every = TokenTree(alike), []
+            for _ in range(300):
+                toks = ["by"] + [rnd.choice("abcdefghijkl"[:words]) if rnd.random() < 0.9 else SLOT for _ in range(n - 1)]
+                best = max(range(len(every)), key=lambda i: (share(every[i], toks), -i), default=None)
+                if best is None or share(every[best], toks) < alike and every[best] != toks:
+                    best = len(every)
+                    every.append(list(toks))
+                every[best] = [a if a == b else SLOT for a, b in zip(every[best], toks)]
+                assert tree.add("s", toks) == every[best]
+            assert tree.templates == every
+
+
 # -- 6 noise of scans ----------------------------------------------------------------
 
 def test_paragraphs_join_whatever_the_next_letter():
