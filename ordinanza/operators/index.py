@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def write_index(chunks: DataFrame, path: str, collection: str, mode: str = "over
     A single collection is one partition value, so files follow the tasks and no
     shuffle is needed.
     """
-    chunks.withColumn("collection", F.lit(collection)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    chunks.withColumn("collection", F.lit(collection)).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("collection").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, collection: str) -> DataFrame:
@@ -48,6 +50,19 @@ def batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     return part.join(n, "_p").select(key, F.floor((F.col("_i") + F.col("_off")) / size).cast("long").alias("batch_no"))
 
 
+def _batch_of(docs: DataFrame, key: str, size: int) -> Column:
+    """The batch of a row by its key, from the first key of every batch, of which there is one for ``size`` rows; texts are not shuffled for it."""
+    first = batches(docs, key, size).groupBy("batch_no").agg(F.min(key).alias("k")).where("k is not null").orderBy("k", "batch_no").toPandas()
+    held = docs.sparkSession.sparkContext.broadcast((first["k"].to_numpy(), first["batch_no"].to_numpy()))
+
+    @F.pandas_udf("long")
+    def run(k: pd.Series) -> pd.Series:
+        starts, no = held.value
+        return pd.Series(no[np.searchsorted(starts, k.to_numpy(), side="right") - 1])
+
+    return run(F.col(key))
+
+
 def load_index(parents: DataFrame, path: str, collection: str, embed, *, key: str, text: str, section: str = "section", size: int = 50) -> DataFrame:
     """Write parents, their children with vectors, and return the outcome per batch.
 
@@ -60,7 +75,7 @@ def load_index(parents: DataFrame, path: str, collection: str, embed, *, key: st
     """
     spark = parents.sparkSession
     docs = parents.where(F.col(text).isNotNull()).select(F.col(key).alias("parent_id"), F.col(section).alias("section"), F.col(text).alias("content"))
-    docs = docs.join(batches(docs, "parent_id", size), "parent_id")
+    docs = docs.where("parent_id is not null").withColumn("batch_no", _batch_of(docs, "parent_id", size))
     write_index(docs, f"{path}/parents", collection)
     kept = read_index(spark, f"{path}/parents", collection)
     kids = expand_children(kept, "parent_id", "content", "section", "batch_no")
